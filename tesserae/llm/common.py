@@ -93,3 +93,27 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 64) ->
             raise RuntimeError("components did not settle")
     roots = cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application."""
+    import io
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    path = Path(tempfile.mkdtemp(prefix="tesserae-code-"), "tesserae_code.zip")
+    path.write_bytes(held.getvalue())
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
