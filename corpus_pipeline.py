@@ -14,8 +14,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that have a language: `und` (null, or without letters) goes."""
     ship(spark)
     path = vocabulary("piece_bpe_32k.model")
-    found = langid.predicted(docs, path, langid.fit(docs, path))
-    return found.filter(F.col("lang_pred") != "und").select(*[f"`{c}`" for c in docs.columns])
+    found = langid.predicted(docs, path, langid.fit(docs, path), names=("__lang_pred", "__score"))
+    return found.filter(F.col("__lang_pred") != "und").select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -295,18 +295,18 @@ class Scorer:
                 self.rows[first : first + len(new)] = forward(self.lattice, self.prob, new)
 
 
-def predicted(docs: DataFrame, path: str, model: tuple | None = None, text: str = "text") -> DataFrame:
-    """docs with lang_pred string and score double (the posterior, all languages alike before); columns of these names are replaced. No shuffle."""
+def predicted(docs: DataFrame, path: str, model: tuple | None = None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred string and score double (the posterior, all languages alike before) by these names; columns of docs so named are replaced. No shuffle."""
     import numpy as np
     import pyarrow as pa
 
     langs, prob = model or fit(docs, path)
     held = docs.sparkSession.sparkContext.broadcast((langs, prob))
-    new = ["lang_pred", "score"]
+    new = list(names)
     rest = [c for c in docs.columns if c not in new]
     src = docs.select(*[f"`{c}`" for c in rest])
     at = rest.index(text)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema] + [f"`{names[0]}` string", f"`{names[1]}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prob = held.value
