@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import bpe, decontam, html_text, langid, neardup, shards, topk, url_filter
+from tesserae.llm import bpe, decontam, html_text, langid, neardup, shards, topk, url_filter, warc
 from tesserae.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op2_url_filter"] = url_filter.SQL
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark, table(spark, sf_dir, "pages"))
+
+
+SQL["op8_warc"] = warc.SQL
