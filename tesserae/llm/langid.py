@@ -83,6 +83,17 @@ class Lattice:
                 return False
         return True
 
+    def find(self, h):  # noqa: ANN001, ANN201
+        """The pieces with these hashes; -1: none."""
+        import numpy as np
+
+        at = ((h * np.uint64(self.MUL)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        ids = np.full(h.shape, -1, np.int32)
+        for probe in range(4):
+            hit = self.slots[at + probe] == h
+            ids[hit] = self.ids[at + probe][hit]
+        return ids
+
     def edges(self, chars):  # noqa: ANN001, ANN201
         """For a matrix of character codes (words of one padded length; 0: padding): ids[k][:, j] of the piece from j to j + k + 1.
 
@@ -96,11 +107,7 @@ class Lattice:
         for k in range(min(self.longest, width)):
             cells = width - k
             h = h[:, :cells] * np.uint64(self.STEP) + chars[:, k:].astype(np.uint64) + np.uint64(1)
-            at = ((h * np.uint64(self.MUL)) >> np.uint64(64 - self.bits)).astype(np.int64)
-            ids = np.full(h.shape, -1, np.int32)
-            for probe in range(4):
-                hit = self.slots[at + probe] == h
-                ids[hit] = self.ids[at + probe][hit]
+            ids = self.find(h)
             ids[chars[:, k:] == 0] = -1
             if k == 0:
                 ids[(ids < 0) & (chars != 0)] = self.n

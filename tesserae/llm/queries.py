@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import bpe, decontam, html_text, langid, neardup, shards, topk, url_filter, warc
+from tesserae.llm import bpe, decontam, html_text, langid, neardup, shards, token_counts, topk, url_filter, warc
 from tesserae.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op8_warc"] = warc.SQL
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
