@@ -18,7 +18,9 @@ import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: White space as in Unicode's property, which the pre-tokenizer's pattern means by its class for space.
 WS = "\t-\r \x85\xa0  -     　"
@@ -256,8 +258,6 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: bool = True, di
 
 def decoded(docs: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
     """docs with decoded string, the text that ids spell; null ids give null, bytes that aren't UTF-8 the replacement sign."""
-    import pandas as pd
-    from pyspark.sql import functions as F
 
     @F.pandas_udf("string")
     def spell(col: pd.Series) -> pd.Series:
