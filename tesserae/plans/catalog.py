@@ -1,39 +1,8 @@
-"""The registered queries over the test tables, each with the SQL that gives the same rows."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tesserae.plans import dedup_queries, graph_queries
+from tesserae.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query("""
-SELECT md5(regexp_replace(trim(text), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS body_hash, count(*)::BIGINT AS n_docs, min(doc_id)::BIGINT AS first_doc
-FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1
-""")
-def dedup_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
-    return (
-        docs.groupBy(F.md5(F.regexp_replace(F.trim("text"), "[ \t\n\r\f]+", " ")).alias("body_hash"))
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
-        .filter(F.col("n_docs") > 1)
-    )
+__all__ = ["QUERIES", "SQL", "dedup_queries", "graph_queries"]
