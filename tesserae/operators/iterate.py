@@ -36,3 +36,27 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application."""
+    import io
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    path = Path(tempfile.mkdtemp(prefix="tesserae-code-"), "tesserae_code.zip")
+    path.write_bytes(held.getvalue())
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
