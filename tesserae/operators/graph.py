@@ -85,21 +85,27 @@ def spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """Connected components as (node, root), root being the least node, by alternating large-star and small-star steps.
 
-    The number of rounds grows with the logarithm of the diameter. A step is a map-side combined minimum and a join on
-    the node, which Spark can split where one node has most of the edges.
+    The number of rounds grows with the logarithm of the diameter. A step is a map-side combined minimum for each node,
+    written as a table, and a join of the edges with it: both sides of that join are exchanges of their own, so Spark
+    can split the partition of a node that has most of the edges.
     """
     spark = edges.sparkSession
     paths: list[str] = []
+    minima: list[str] = []
 
     def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
         paths.append(new_path(spark, "components"))
         df = written(df, "components", paths[-1])
+        for p in minima:
+            drop_path(spark, p)
+        minima.clear()
         return df, tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     def star(df: DataFrame, large: bool) -> DataFrame:
         swapped = df.select(F.col("b").alias("a"), F.col("a").alias("b"))
         both = df.unionAll(swapped) if large else df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+        minima.append(new_path(spark, "minima"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), "minima", minima[-1])
         linked = both.join(least, F.col("a") == F.col("n"))
         if large:
             out = linked.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -110,7 +116,10 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     start = edges.filter("src is not null and dst is not null and src != dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
     cur, mark = kept(start)
     for _ in range(rounds if mark[0] else 0):
-        nxt, now = kept(star(star(cur, True), False))
+        half = new_path(spark, "stars")
+        large = written(star(cur, True), "stars", half)
+        minima.append(half)
+        nxt, now = kept(star(large, False))
         for p in paths[:-1]:
             drop_path(spark, p)
         del paths[:-1]
