@@ -204,3 +204,20 @@ def hard_negatives(facts: DataFrame) -> DataFrame:
     c = F.col
     kinds = {"uncalled_public": c("is_public") & (c("fan_in") == 0), "trait_impl": c("trait_impl").isNotNull(), "documented_uncalled": c("doc").isNotNull() & (c("fan_in") == 0), "unreachable_called": ~c("reachable") & (c("fan_in") > 0), "complex_uncalled": (c("complexity") > 20) & (c("fan_in") == 0)}
     return facts.select("node", F.explode(F.array_compact(F.array(*[F.when(cond, F.lit(k)) for k, cond in kinds.items()]))).alias("kind"))
+
+
+def compare(df: DataFrame, static: str = "static", model: str = "model", share: float = 0.6) -> DataFrame:
+    """name (static, model, fused) with the confusion's columns, for a frame (static, model, y); in one pass."""
+    fused = F.col(model) * share + F.col(static) * (1 - share)
+    rows = df.select("y", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("p")) for n, c in (("static", F.col(static)), ("model", F.col(model)), ("fused", fused))])).alias("r")).select("y", "r.*")
+    return confusion(rows, by=["name"])
+
+
+def ablation(df: DataFrame, features: list[str], steps: int = 15) -> DataFrame:
+    """left_out (none, or a feature) with the confusion's columns of a model fitted without it."""
+    out = None
+    for gone in [None, *features]:
+        kept = [f for f in features if f != gone]
+        c = confusion(df.select("y", predict(fit(df, kept, steps=steps), kept).alias("p"))).withColumn("left_out", F.lit(gone or "none"))
+        out = c if out is None else out.unionAll(c)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.plans import code_queries, dedup_queries, graph_queries, learn_queries, state_queries, verdict_queries
+from tesserae.plans import code_queries, dedup_queries, graph_queries, learn_queries, more_queries, state_queries, verdict_queries
 from tesserae.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "code_queries", "dedup_queries", "graph_queries", "learn_queries", "state_queries", "verdict_queries"]
+__all__ = ["QUERIES", "SQL", "code_queries", "dedup_queries", "graph_queries", "learn_queries", "more_queries", "state_queries", "verdict_queries"]

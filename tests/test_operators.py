@@ -6,9 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.functions import rules, vectors
+from tesserae.functions import frameworks, rules, vectors
 from tesserae.functions import text as t
-from tesserae.operators import dedup, graph, learn, report, resolve, state, verdict
+from tesserae.operators import dedup, graph, hierarchy, learn, references, report, resolve, state, verdict
 
 
 def one(spark, *columns):
@@ -189,3 +189,23 @@ def test_reports(spark, tmp_path):
     assert report.markdown_head(["id", "s"]) == "| id | s |\n| --- | --- |"
     report.write_jsonl(df, str(tmp_path / "o"))
     assert spark.read.json(str(tmp_path / "o")).count() == 2
+
+
+def test_frameworks_and_references(spark):
+    lit = F.lit
+    got = one(spark, frameworks.is_root(lit("python"), lit("a/x.py"), lit("f"), lit("@app.route('/')")), frameworks.is_root(lit("python"), lit("a/views.py"), lit("f"), lit(None).cast("string")), frameworks.is_root(lit("rust"), lit("a/views.py"), lit("f"), lit(None).cast("string")), frameworks.is_dynamic(lit("go"), lit("http.HandleFunc(x)")))
+    assert got == (True, True, False, True)
+    src = spark.createDataFrame([("a.py", "python", "getattr(x, 'go'); getattr(y, 'go'); import_module('p.q')"), ("b.rs", "rust", "fn f(x: Box<dyn Shape>) {}"), ("c.js", "javascript", "")], "path string, language string, source string")
+    refs = references.found(src)
+    assert sorted((r.file, r.kind, r.target, r.n) for r in refs.collect()) == [("a.py", "dynamic_import", "p.q", 1), ("a.py", "reflection", "go", 2), ("b.rs", "trait_object", "Shape", 1)]
+    f = spark.createDataFrame([(1, "go"), (2, "q"), (3, "p")], "node long, name string")
+    assert {r.node for r in references.matched(refs, f).collect()} == {1, 2} and {r.node for r in references.matched(refs, f, contained=True).collect()} == {1, 2, 3}
+
+
+def test_hierarchies(spark):
+    e = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "a"), ("x", "y"), ("y", "x")], "src string, dst string")
+    assert pairs(hierarchy.inheritance_depth(e)) == [("a", 0), ("b", 1), ("c", 2), ("d", 1)]
+    assert pairs(hierarchy.leaves(e)) == [("c",), ("d",)]
+    assert pairs(hierarchy.circular(e)) == [("x", "x"), ("y", "x")]
+    files = spark.createDataFrame([("a",), ("z",)], "file string")
+    assert pairs(hierarchy.unimported(files, e)) == [("z",)]
