@@ -221,6 +221,24 @@ def parse(path: str, language: str, source: str) -> dict:
         return {"path": path, "language": language, "functions": [], "imports": [], "types": [], "error": f"{type(e).__name__}: {e}"}
 
 
+# How comments begin, by language; the rest writes // and /* */.
+HASH_COMMENTS = ("python",)
+
+
+HASH_LINE, HASH_BLOCK = "#([^\\n]*)", '(?s)"{3}(.*?)"{3}'
+SLASH_LINE, SLASH_BLOCK = "//([^\\n]*)", "(?s)/\\*(.*?)\\*/"
+
+
+def comments(files: DataFrame) -> DataFrame:
+    """path, kind (line, block, doc), text of each comment of files (path, language, source); strings aren't told apart."""
+    hashed = F.col("language").isin(*HASH_COMMENTS)
+    found = lambda a, b: F.regexp_extract_all("source", F.when(hashed, F.lit(a)).otherwise(F.lit(b)), F.lit(1))
+    row = lambda kind, x: F.struct(kind.alias("kind"), F.trim(x).alias("text"))
+    line = F.transform(found(HASH_LINE, SLASH_LINE), lambda x: row(F.when(~hashed & x.rlike("^[/!]"), "doc").otherwise("line"), F.regexp_replace(x, "^[/!]+", "")))
+    block = F.transform(found(HASH_BLOCK, SLASH_BLOCK), lambda x: row(F.when(hashed | x.startswith("*"), "doc").otherwise("block"), F.regexp_replace(x, "^[*]+", "")))
+    return files.select("path", F.explode(F.concat(line, block)).alias("c")).select("path", "c.*")
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """files (path, language, source) as nested rows; one row a file."""
     import pyarrow as pa

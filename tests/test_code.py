@@ -109,3 +109,25 @@ def test_records(spark, tmp_path):
     assert sorted((r.id, r.outcome) for r in files.ledger(spark, str(tmp_path / "ledger.json")).collect()) == [("a", "Pending"), ("b", "Kept")]
     (tmp_path / "repo1.jsonl").write_text('{"full_path": "x", "label": "Dead"}\n{"full_path": "y", "repository_id": "r"}\n')
     assert sorted((r.full_path, r.repository_id, r.label, r.confidence) for r in files.examples(spark, str(tmp_path / "repo1.jsonl")).collect()) == [("x", "repo1", "Dead", 1.0), ("y", "r", "Unknown", 1.0)]
+
+
+def test_comments(spark):
+    df = spark.createDataFrame([("a.rs", "rust", "/// doc\n// TODO x\nfn f() {} /* b\nc */ /** d */"), ("b.py", "python", 'x = 1  # one\n"""Doc."""\n')], "path string, language string, source string")
+    got = sorted(map(tuple, code.comments(df).collect()))
+    assert got == sorted([("a.rs", "doc", "doc"), ("a.rs", "line", "TODO x"), ("a.rs", "block", "b\nc"), ("a.rs", "doc", "d"), ("b.py", "line", "one"), ("b.py", "doc", "Doc.")])
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    from pyspark.sql import SparkSession
+
+    from tesserae.__main__ import main
+
+    monkeypatch.setattr(SparkSession.builder, "appName", lambda name: SparkSession.builder)
+    body = "\n".join(f"    let v{i} = call{i}(x, y, {i});" for i in range(8))
+    (tmp_path / "a.rs").write_text(f"pub fn main() {{ used(1); }}\nfn used(x: i64) {{\n{body}\n}}\nfn copied(x: i64) {{\n{body}\n}}\n")
+    assert main(["deadcode", str(tmp_path)]) == 0 and '"a.rs::copied"' in capsys.readouterr().out.replace(f"file:{tmp_path}/", "")
+    assert main(["check", str(tmp_path)]) == 1 and main(["check", str(tmp_path), "--max-dead", "1"]) == 0
+    capsys.readouterr()
+    assert main(["dedup", str(tmp_path)]) == 0 and '"size":2' in capsys.readouterr().out
+    for command in ("analyze", "list", "important", "graph", "report", "stats"):
+        assert main([command, str(tmp_path)]) == 0 and capsys.readouterr().out
