@@ -1,119 +1,20 @@
-"""What the operators of this subpackage share: tables, the shared folder, components."""
+"""What the operators of this subpackage share with the library: tables, the shared folder, components."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.operators import graph
+from tesserae.operators.iterate import drop_path, new_path, shared_dir, ship, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the session names none (tests on one machine) is a temporary folder made and set.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found is None:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if own.isDefined():
-            return own.get()
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="tesserae-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tesserae/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "drop_path", "new_path", "shared_dir", "ship", "table", "written"]
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def components(edges: DataFrame, name: str = "components", rounds: int = 64) -> DataFrame:
-    """Connected components of edges (a, b) as (node, root), root being the least node; distributed.
-
-    Alternates large-star and small-star steps, so that the number of rounds grows with the logarithm of
-    the diameter. Every step is a map-side combined minimum and a join on the node, which Spark can split
-    where one node has most of the edges. No node's neighbours are ever gathered in one task. Null ends
-    and loops are ignored; an empty table gives an empty result.
-    """
-    spark = edges.sparkSession
-    paths: list[str] = []
-
-    def kept(df: DataFrame) -> tuple[DataFrame, int, int]:
-        paths.append(new_path(spark, name))
-        df.write.option("compression", "zstd").parquet(paths[-1])
-        df = spark.read.schema(df.schema).parquet(paths[-1])
-        n, h = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return df, n, h
-
-    def star(df: DataFrame, large: bool) -> DataFrame:
-        if large:
-            both = df.select("a", "b").unionAll(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        else:
-            both = df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        linked = both.join(least, F.col("a") == F.col("n"))
-        if large:
-            out = linked.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
-        return out.filter(F.col("a") != F.col("b")).distinct()
-
-    cur, n, h = kept(edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds if n else 0):
-        nxt, n2, h2 = kept(star(star(cur, True), False))
-        done = (n2, h2) == (n, h)
-        for p in paths[:-1]:
-            drop_path(spark, p)
-        del paths[:-1]
-        cur, n, h = nxt, n2, h2
-        if done:
-            break
-    else:
-        if n:
-            raise RuntimeError("components did not settle")
-    roots = cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
-_shipped: set[str] = set()
-
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application."""
-    import io
-    import tempfile
-    import zipfile
-    from pathlib import Path
 
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    path = Path(tempfile.mkdtemp(prefix="tesserae-code-"), "tesserae_code.zip")
-    path.write_bytes(held.getvalue())
-    spark.sparkContext.addPyFile(str(path))
-    _shipped.add(app)
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a, b) as (node, root), root being the least node. Null ends and loops are ignored."""
+    return graph.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
