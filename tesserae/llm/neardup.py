@@ -229,6 +229,7 @@ def _confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
     rows = F.greatest(F.lit(BLOCK), F.least(F.ceil(F.col("n") / SPREAD), F.lit(MOST)))
     cut = sizes.select(F.col("root").alias("r"), F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("weight") / SHINGLES)).cast("int").alias("nb"))
+    cut = written(cut, "cut")  # a table, so that Spark can split a large cluster's side of the join
     placed = clusters.join(cut, F.col("root") == F.col("r")).select("node", "root", "nb", F.pmod(F.xxhash64("node", "root"), F.col("nb")).cast("int").alias("block"))
     dealt = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -272,9 +273,9 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = 85) -> DataFrame
     banded = classes.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select(F.col("key").alias("k"), "lo")
     near = banded.join(shared, F.col("key") == F.col("k")).filter("rep != lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")).distinct()
-    clusters = components(near, "clusters")
+    clusters = components(near)
     clusters = clusters.join(classes.groupBy(F.col("rep").alias("r")).agg(F.sum("n_shingles").alias("n_shingles")), F.col("node") == F.col("r")).select("node", "root", "n_shingles")
-    found = components(_confirmed(docs, clusters, width, percent), "links")
+    found = components(_confirmed(docs, clusters, width, percent))
     to = classes.select(F.col("cls").alias("c"), "rep").join(found, F.col("rep") == F.col("node"), "left").select("c", F.coalesce("root", "rep").alias("root"))
     out = s.select("doc_id", "n_shingles", "cls").join(to, F.col("cls") == F.col("c"), "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
