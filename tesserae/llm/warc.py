@@ -101,6 +101,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     long = F.octet_length("html") >= LEAST
     # short payloads have keys of their own, so that they aren't dealt to one task
     same = rows.filter(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").select(F.col("digest").alias("d"), "first")
+    same = written(same, "same")  # a table, so that Spark can split the many rows of one payload in the join
     own = F.when(long, F.col("digest")).otherwise(F.concat(F.lit("short "), F.xxhash64("page_id", "url").cast("string")))
     dealt = rows.withColumn("own", own).join(same, F.col("own") == F.col("d"), "left")
     dealt = dealt.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
