@@ -61,17 +61,18 @@ def links(pages: DataFrame) -> DataFrame:
     attr = lambda tag, name: F.regexp_replace(F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1), "^[\"']|[\"']$", "")
     tags = F.regexp_extract_all("html", F.lit(r"""(?is)(<(?:link|meta)\s(?:"[^"]*"|'[^']*'|[^'">])*>)"""), F.lit(1))
     found = pages.select("url", "html").filter(F.col("html").rlike("(?i)canonical|refresh")).select("url", F.explode(tags).alias("tag"))
-    canonical = F.when(F.lower(attr(F.col("tag"), "rel")) == "canonical", attr(F.col("tag"), "href"))
-    refresh = F.when(F.lower(attr(F.col("tag"), "http-equiv")) == "refresh", F.regexp_extract(attr(F.col("tag"), "content"), r"(?is)url\s*=\s*['\"]?([^'\"]+)", 1))
-    to = F.trim(F.regexp_replace(F.coalesce(canonical, refresh), "&amp;", "&"))
-    base = F.regexp_extract("url", r"^([^:/?#]*:)//", 1)
-    whole = (
-        F.when(F.instr(to, "://") > 0, to)
-        .when(to.startswith("//"), F.concat(base, to))
-        .when(to.startswith("/"), F.concat(base, F.lit("//"), host(F.col("url")), to))
-        .otherwise(F.concat(base, F.lit("//"), host(F.col("url")), F.regexp_extract(path(F.col("url")), "^(.*/)?", 0), F.when(path(F.col("url")) == "", "/").otherwise(""), to))
-    )
-    return found.filter(to != "").select(node(F.col("url")).alias("a"), node(whole).alias("b")).filter("a is not null and b is not null and a != b")
+    # step by step, as each step's columns are used more than once in the next
+    tag = F.col("tag")
+    found = found.select("url", F.lower(attr(tag, "rel")).alias("rel"), F.lower(attr(tag, "http-equiv")).alias("equiv"), attr(tag, "href").alias("href"), attr(tag, "content").alias("content"))
+    refresh = F.regexp_extract("content", r"(?is)url\s*=\s*['\"]?([^'\"]+)", 1)
+    to = F.when(F.col("rel") == "canonical", F.col("href")).when(F.col("equiv") == "refresh", refresh)
+    found = found.select("url", F.trim(F.regexp_replace(to, "&amp;", "&")).alias("to"), F.regexp_extract("url", r"^([^:/?#]*:)//", 1).alias("base"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    to, base, site = F.col("to"), F.col("base"), F.concat(F.col("base"), F.lit("//"), F.col("host"))
+    folder = F.when(F.col("path") == "", "/").otherwise(F.regexp_extract("path", "^(.*/)?", 0))
+    whole = F.when(F.instr(to, "://") > 0, to).when(to.startswith("//"), F.concat(base, to)).when(to.startswith("/"), F.concat(site, to)).otherwise(F.concat(site, folder, to))
+    found = found.filter(to != "").select("url", whole.alias("target"))
+    # behind an explode: conditions on a and b would otherwise be pushed down with all of the above copied into them
+    return found.select(F.explode(F.array(F.struct(node(F.col("url")).alias("a"), node(F.col("target")).alias("b")))).alias("e")).select("e.a", "e.b").filter("a is not null and b is not null and a != b")
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES, edges: DataFrame | None = None) -> DataFrame:
@@ -79,7 +80,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES, edges: DataFr
     all_edges = links(pages)
     if edges is not None:
         all_edges = all_edges.unionAll(edges.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")))
-    nodes = components(all_edges, "aliases")
+    nodes = components(all_edges)
     as_url = F.concat(F.lit("//://"), F.col("node"))
     _, action = rule_of(host(as_url), path(as_url), rules)
     bad = nodes.filter(action == "block").select(F.col("root").alias("r")).distinct()
