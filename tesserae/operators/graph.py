@@ -198,14 +198,13 @@ def levels(edges: DataFrame) -> DataFrame:
 
 def importance(facts: DataFrame) -> DataFrame:
     """facts (node, complexity, fan_in, fan_out, layer_weight) with importance 0 to 1: .15 complexity, .25 degree of the greatest, .20 degree of 50, .30 fan-in of the greatest, .10 layer."""
-    most = facts.agg(F.greatest(F.max("fan_in"), F.lit(1)).alias("most_in"), F.greatest(F.max(F.col("fan_in") + F.col("fan_out")), F.lit(1)).alias("most_degree"))
+    most = facts.agg(F.max("fan_in").alias("fan_in"), F.max(F.col("fan_in") + F.col("fan_out")).alias("degree")).first()
     degree = F.col("fan_in") + F.col("fan_out")
     score = (
-        0.15 * F.least(F.col("complexity") / 50.0, F.lit(1.0)) + 0.25 * degree / F.col("most_degree") + 0.20 * F.least(degree / 50.0, F.lit(1.0)) + 0.30 * F.col("fan_in") / F.col("most_in")
+        0.15 * F.least(F.col("complexity") / 50.0, F.lit(1.0)) + 0.25 * degree / max(most.degree or 1, 1) + 0.20 * F.least(degree / 50.0, F.lit(1.0)) + 0.30 * F.col("fan_in") / max(most.fan_in or 1, 1)
         + 0.10 * F.col("layer_weight")
     )
-    # `most` is one row, which is broadcast
-    return facts.crossJoin(F.broadcast(most)).select("node", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("importance"))
+    return facts.select("node", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("importance"))
 
 
 def layer_matrix(edges: DataFrame, layers: DataFrame) -> DataFrame:

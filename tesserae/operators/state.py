@@ -73,9 +73,9 @@ def stats(ledger: DataFrame) -> DataFrame:
 def activity(commits: DataFrame, now: Column) -> DataFrame:
     """file, n, score from commits (file, at): .7 of the commits' share of the greatest and .3 / (days since the last + 1)."""
     g = commits.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last"))
-    most = F.broadcast(g.agg(F.max("n").alias("most")))  # one row
+    most = g.agg(F.max("n")).first()[0] or 1
     days = F.floor((F.unix_timestamp(now) - F.unix_timestamp("last")) / 86400)
-    return g.crossJoin(most).select("file", "n", (F.col("n") / F.col("most") * 0.7 + 0.3 / (days + 1)).alias("score"))
+    return g.select("file", "n", (F.col("n") / most * 0.7 + 0.3 / (days + 1)).alias("score"))
 
 
 def inverted(df: DataFrame, id_col: str, text: str) -> DataFrame:
