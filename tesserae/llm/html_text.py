@@ -1,6 +1,6 @@
 """The main text of web pages.
 
-A page that marks its article (`article`, `main` or role main) says itself what its main text is: the marked part
+A page that marks its article (`article`, `main`, role main, or else a class or id such as content) says itself what its main text is: the marked part
 without what HTML or usual class names set apart (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments). Repetition must not remove any of that: articles share passages.
 
@@ -50,11 +50,26 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal",
     "overlay", "newsletter", "subscribe", "subscription", "signup", "sidebar", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "share", "sharing", "social",
-    "related", "recommended", "comment", "comments", "disqus", "reply", "replies", "respond", "footer", "masthead", "widget",
+    "related", "recommended", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "footer", "masthead", "widget", "alert", "announcement", "adsbygoogle", "adslot", "adbox", "cookiebar", "cookiebanner",
 }
+# Names that set apart only outside an article, which may have a header of its own.
+OUTSIDE = NAMES | {"header", "topbar", "logo"}
 NOT = {"no", "has", "with", "without", "is"}
 OF_ARTICLE = {"ad", "ads", "advert", "sponsored", "promo", "related", "recommended", "comment", "comments", "reply", "replies", "widget", "sidebar"}
-MARKED = r"""(?i)<(?:article|main)[\s/>]|role\s*=\s*["']?main\b"""
+# Usual class names and ids of what holds the article.
+CONTENT = {"content", "article", "post", "entry", "story", "main", "body"}
+MARKED = r"""(?i)<(?:article|main)[\s/>]|role\s*=\s*["']?main\b|(?:class|id)\s*=\s*["']?[^"'>]*\b(?:content|article|post|entry|story|main)\b"""
+
+
+def _holds_article(attrs: str) -> bool:
+    """Whether a class name or id is a usual one of the article's element, such as content or post-content."""
+    for key, value in ATTR.findall(attrs):
+        if key.lower() in ("class", "id"):
+            for name in value.strip("\"'").lower().split():
+                parts = re.split("[-_]+", name)
+                if parts[0] not in NOT and set(parts) <= CONTENT | {"page", "site", "text", "blog", "news"} and parts[-1] in CONTENT:
+                    return True
+    return False
 
 
 def _named(attrs: str, names: set[str]) -> bool:
@@ -74,23 +89,23 @@ def blocks(html: str | None) -> tuple[list[str], bool]:
     """The blocks of a page's main text in order, and whether the page marks its article; if not, all blocks that aren't set apart."""
     if not html:
         return [], False
-    #: Open elements: name, whether set apart, depth of articles and mains, whether in an article's header.
-    stack: list[tuple[str, bool, int, int, bool]] = []
-    found: list[tuple[str, int, int]] = []
+    #: Open elements: name, whether set apart, depth of articles, mains and elements named so, whether in an article's header.
+    stack: list[tuple[str, bool, int, int, int, bool]] = []
+    found: list[tuple[str, int, int, int]] = []
     parts: list[str] = []
-    apart, article, main, head = False, 0, 0, False
+    apart, article, main, named, head = False, 0, 0, 0, False
     pos, end = 0, len(html)
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append((text, article, main))
+                found.append((text, article, main, named))
             parts.clear()
 
     def state() -> None:
-        nonlocal apart, article, main, head
-        _, apart, article, main, head = stack[-1] if stack else ("", False, 0, 0, False)
+        nonlocal apart, article, main, named, head
+        _, apart, article, main, named, head = stack[-1] if stack else ("", False, 0, 0, 0, False)
 
     def close(depth: int) -> None:
         del stack[depth:]
@@ -153,7 +168,7 @@ def blocks(html: str | None) -> tuple[list[str], bool]:
                     break
             off = bool(attrs) and _named(attrs, OF_ARTICLE)
         else:
-            off = name in APART or (name not in ("html", "body") and bool(attrs.strip()) and _named(attrs, NAMES))
+            off = name in APART or (name not in ("html", "body") and bool(attrs.strip()) and _named(attrs, NAMES if article else OUTSIDE))
         is_main = name == "main" or (bool(attrs) and "main" in attrs and bool(re.search(r"""role\s*=\s*["']?main\b""", attrs, re.IGNORECASE)))
         in_head = head
         if name == "header":
@@ -163,10 +178,11 @@ def blocks(html: str | None) -> tuple[list[str], bool]:
                 off = True
         elif name in HEADINGS and head:
             in_head = False  # an article's own title
-        stack.append((name, apart or off, article + (name == "article"), main + is_main, in_head))
+        is_named = name in ("div", "section", "td") and bool(attrs.strip()) and _holds_article(attrs)
+        stack.append((name, apart or off, article + (name == "article"), main + is_main, named + is_named, in_head))
         state()
     flush()
-    for at in (1, 2):
+    for at in (1, 2, 3):
         if chosen := [b[0] for b in found if b[at]]:
             return chosen, True
     return [b[0] for b in found], False

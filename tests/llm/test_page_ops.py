@@ -134,7 +134,8 @@ def test_archives_round_trip(spark):
 
 CASES = [
     ("<html><body><header><h1>Site</h1></header><nav><a>x</a></nav><main><article><header><h1>T</h1><span>by me</span></header><p>a<b>b</b> c<p>d&nbsp;e<div class='ad-slot'>AD<p>more</div><ul><li>one<li>two</ul><aside>s</aside><section class='comments'><article class='comment'>hi</article></section></article></main><footer>f</footer>", "T ab c d e one two"),
-    ("<div class='content with-sidebar'><p>x</p></div><p class='notice'>cookie<p>y", "x y"),
+    ("<div class='content with-sidebar'><p>x</p></div><p class='notice'>cookie<p>y", "x"),
+    ("<div class='with-sidebar'><p>x</p></div><p class='notice'>cookie<p>y", "x y"),
     ("<article>a<script>if(a<b){'</p>'}</script>b<!-- x --> c</article", "ab c"),
     ("<p>a &lt;b&gt; 1 < 2 &#233;&eacute</p>", "a <b> 1 < 2 éé"),
     ("<nav><ul><li>m<article>z</article>", "z"),
@@ -142,6 +143,8 @@ CASES = [
     ("<article><p>one <br>two<p class=x-comments>no</p><h2>three</h2></article>", "one two three"),
     ("<article><![CDATA[raw]]><textarea>t</textarea><p>p <style>s", "raw p"),
     ("<div id=content role=main>in<div role=navigation>menu</div></div>out", "in"),
+    ("<body><h1>Site</h1><div class='post-content main'><p>text</p><div class=share>no</div></div><p>tail</p>", "text"),
+    ("<div class='site-header'>S</div><article><div class='header'>h</div><ol class=commentlist><li>c</ol><div id='respond'>r</div><div class='newsletter-signup'>n</div>t</article>", "h t"),
     ("", ""), (None, ""), ("<", "<"), ("<article><p", ""), ("a" * 100_000, "a" * 100_000),
 ]
 
