@@ -1,18 +1,20 @@
 """Fitting, calibration and evaluation of a classifier, over frames (id, p, y): probability and 0/1 label.
 
-Ranked measures need the running count of positives over all rows by falling score. It is taken within buckets of
-the score, each ordered in a task of its own, behind the sum of the buckets before; only the table of buckets, of
-fixed size, is ordered as a whole.
+Ranked measures need each row's place by falling score and the count of positives up to it. Rows are placed by ranges
+as in `order.placed`; equal scores are told apart by id, so many of them don't meet in one task.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import vectors as v
+from tesserae.operators.iterate import written
+from tesserae.operators.order import placed
 
-BUCKETS = 4096
 # Weights of label sources.
 SOURCE_WEIGHTS = {"gold": 1.0, "silver": 0.7, "bronze": 0.4, "heuristic": 0.2}
 
@@ -37,11 +39,14 @@ def with_rates(c: DataFrame) -> DataFrame:
 
 def ranked(df: DataFrame) -> DataFrame:
     """df with place (from 1, by falling p, then id), tp and fp up to it, positives and total."""
-    b = df.withColumn("bucket", F.floor((1 - F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0))) * (BUCKETS - 1)).cast("int"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = (F.desc("p"), F.asc("id"))
+    b = written(df.select("id", "p", "y").repartitionByRange(n, *order).withColumn("bucket", F.spark_partition_id()), "ranges")
+    # one row for each range, of which there are as many as shuffle partitions
     sums = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
     before, every = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     starts = sums.select(F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("p0"), F.sum("n").over(every).alias("total"), F.sum("pos").over(every).alias("positives"))
-    w = Window.partitionBy("bucket").orderBy(F.desc("p"), "id")
+    w = Window.partitionBy("bucket").orderBy(*order)
     b = b.withColumn("i", F.row_number().over(w)).withColumn("c", F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = b.join(F.broadcast(starts), F.col("bucket") == F.col("b")).withColumn("place", F.col("n0") + F.col("i")).withColumn("tp", F.col("p0") + F.col("c"))
     return out.select("id", "p", "y", "place", "tp", (F.col("place") - F.col("tp")).alias("fp"), "positives", "total")
@@ -178,15 +183,12 @@ def predict(model: tuple[list[float], float, list[float], list[float]], features
 
 
 def split_groups(df: DataFrame, key: str, shares: tuple[float, float] = (0.7, 0.15), seed: str = "0") -> DataFrame:
-    """key, split (train, val, test): groups go to splits as a whole, by the order of a hash of key and seed.
-
-    The number of groups decides the cuts; the table of groups is ordered as a whole.
-    """
+    """key, split (train, val, test): groups go to splits as a whole, by the order of a hash of key and seed, cut by the number of groups."""
     groups = df.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("h", F.md5(F.concat(F.lit(seed), F.lit(":"), F.col(key).cast("string"))))
-    w = Window.orderBy("h", key)
-    r = groups.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    first, second = F.floor(F.col("n") * shares[0]), F.floor(F.col("n") * (shares[0] + shares[1]))
-    return r.select(key, F.when(F.col("i") < first, "train").when(F.col("i") < second, "val").otherwise("test").alias("split"))
+    r = placed(groups, F.asc("h"), F.asc(key), name="i")
+    n = r.count()
+    first, second = math.floor(n * shares[0]), math.floor(n * (shares[0] + shares[1]))
+    return r.select(key, F.when(F.col("i") <= first, "train").when(F.col("i") <= second, "val").otherwise("test").alias("split"))
 
 
 def overlap(train: DataFrame, test: DataFrame, columns: list[str]) -> DataFrame:

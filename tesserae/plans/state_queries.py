@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as t
 from tesserae.functions import vectors as v
 from tesserae.operators import report, resolve, state
+from tesserae.operators.order import placed
 from tesserae.plans.registry import query, table
 
 ESTIMATE = "(length(regexp_replace({0}, '[^!-/0-9:-@\\[-`{{-~]', '', 'g')) // 3 + length(regexp_replace({0}, '[^\\p{{L}}\\s]', '', 'g')) // 4)::BIGINT"
@@ -181,15 +182,9 @@ SELECT "window", count(*)::BIGINT AS n_test, (sum(count(*)) OVER (ORDER BY "wind
 def temporal_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five windows of equal counts by time, the rest in the last; each is tested on what came before."""
     e = table(spark, sf_dir, "events").select("ts", "event_id", "event_type")
-    # places by day first, so that no task orders all rows
-    day = e.withColumn("day", F.to_date("ts"))
-    per_day = day.groupBy("day").agg(F.count(F.lit(1)).alias("c"))
-    whole = Window.orderBy("day")
-    starts = per_day.select(F.col("day").alias("d"), F.coalesce(F.sum("c").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
-    i = F.row_number().over(Window.partitionBy("day").orderBy("ts", "event_id")) - 1
-    placed = day.withColumn("i", i).join(starts, F.col("day") == F.col("d"))
-    win = F.least(F.floor((F.col("i") + F.col("before")) / F.floor(F.col("n") / 5)), F.lit(4)).cast("int")
-    g = placed.groupBy(win.alias("window")).agg(F.count(F.lit(1)).alias("n_test"), F.sum((F.col("event_type") == "error").cast("bigint")).alias("n_errors"))
+    n = e.count()
+    win = F.least(F.floor((F.col("place") - 1) / max(n // 5, 1)), F.lit(4)).cast("int")
+    g = placed(e, F.asc("ts"), F.asc("event_id")).groupBy(win.alias("window")).agg(F.count(F.lit(1)).alias("n_test"), F.sum((F.col("event_type") == "error").cast("bigint")).alias("n_errors"))
     return g.select("window", "n_test", F.coalesce(F.sum("n_test").over(Window.orderBy("window").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n_train"), "n_errors")
 
 
