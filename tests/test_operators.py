@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import frameworks, rules, vectors
 from tesserae.functions import text as t
-from tesserae.operators import dedup, graph, hierarchy, learn, references, report, resolve, state, verdict
+from tesserae.operators import dedup, graph, hierarchy, learn, order, references, report, resolve, state, verdict
+from tesserae.streaming import ledger
 
 
 def one(spark, *columns):
@@ -209,3 +210,27 @@ def test_hierarchies(spark):
     assert pairs(hierarchy.circular(e)) == [("x", "x"), ("y", "x")]
     files = spark.createDataFrame([("a",), ("z",)], "file string")
     assert pairs(hierarchy.unimported(files, e)) == [("z",)]
+
+
+def test_places_with_many_equal_scores(spark):
+    rows = [(i, 0.5 if i % 3 else i / 100) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, p double")
+    got = {r.id: r.place for r in order.placed(df, F.desc("p"), F.asc("id")).collect()}
+    assert [i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))] == sorted(got, key=got.get) and sorted(got.values()) == list(range(1, 301))
+    assert order.placed(df.limit(0), F.asc("id")).count() == 0
+
+
+def test_streams(spark, tmp_path):
+    import datetime as dt
+
+    day = dt.datetime(2024, 1, 1)
+    rows = [(i % 3, day + dt.timedelta(hours=7 * i), i, "analyse" if i % 2 else "remove", 0.1 * i, None) for i in range(20)]
+    m = spark.createDataFrame(rows, ledger.MUTATION)
+    for k in range(4):
+        m.filter(F.col("seq") % 4 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = ledger.mutations(spark, str(tmp_path / "in"), files_a_batch=1)
+    ledger.follow(s, str(tmp_path / "log"), str(tmp_path / "ledger"), str(tmp_path / "check")).awaitTermination()
+    assert pairs(ledger.latest(spark, str(tmp_path / "ledger"))) == pairs(state.folded(m))
+    q = ledger.counts(ledger.mutations(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r.start, r.kind): r.n for r in spark.table("counts").collect()} == {(r.d, r.kind): r.n for r in m.groupBy(F.date_trunc("day", "at").alias("d"), "kind").agg(F.count(F.lit(1)).alias("n")).collect()}
