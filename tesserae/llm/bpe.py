@@ -26,11 +26,15 @@ from pyspark.sql import functions as F
 WS = "\t-\r \x85\xa0  -     　"
 #: Cuts at places where no match of the pre-tokenizer's pattern can go across.
 CHUNK = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]")
-#: The pattern within a chunk that has no space but one at its start.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + WS + r"\p{L}\p{N}]+|[" + WS + "]+"
+#: The pre-tokenizer's pattern for texts of Latin characters below U+0250, whose letters and numbers are written out.
+LATIN_LETTERS, LATIN_NUMBERS, LATIN_WS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN_LETTERS}]+| ?[{LATIN_NUMBERS}]+| ?[^{LATIN_WS}{LATIN_LETTERS}{LATIN_NUMBERS}]+|[{LATIN_WS}]+(?![^{LATIN_WS}])|[{LATIN_WS}]+")
+BEYOND = re.compile("[^\x00-\u024f]")
 #: Chunks whose encoding a worker keeps (about 200 bytes each) in each of two tables: a full one becomes the old one.
 CACHE = 300_000
 ARCS = 1_000_000
+#: Bytes by which the longest token at a place is looked up.
+HEAD = 6
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -49,7 +53,6 @@ class MergeAutomaton:
         self.born: dict[int, int] = {}
         self.left: dict[int, int] = {}
         self.to = dict.fromkeys(labels, 0)
-        self.arcs: dict[tuple[int, int], bool] = {}
         for k, (u, v, w) in enumerate(merges):
             before = self.to[u]
             if not self.has(before, v):
@@ -61,10 +64,15 @@ class MergeAutomaton:
             self.to[u] = len(self.parent) - 1
             if w not in self.born:
                 self.born[w], self.left[w] = k, u
-            self.arcs.clear()
         made = set(self.born) | {t for t, x in labels.items() if len(x) == 1}
         self.ids = {x: t for t, x in labels.items() if t in made}
-        self.longest = max(map(len, self.ids), default=1)
+        #: The greatest length of a token that starts with these HEAD bytes; other places have no token longer than HEAD - 1.
+        self.reach: dict[bytes, int] = {}
+        for x in self.ids:
+            if len(x) >= HEAD:
+                self.reach[x[:HEAD]] = max(len(x), self.reach.get(x[:HEAD], 0))
+        self.table: list[dict[int, bool] | None] = [None] * len(self.parent)
+        self.kept = 0
 
     def has(self, q: int, t: int) -> bool:
         """Whether state q has an arc for token t."""
@@ -83,57 +91,64 @@ class MergeAutomaton:
 
     def encode(self, word: bytes) -> list[int]:
         """The tokens on the one path that spells word: longest arcs first; places without a way on are struck out."""
-        ids, labels, to, arcs, longest = self.ids, self.labels, self.to, self.arcs, self.longest
-        if word in ids:
-            t = ids[word]
-            if self.to_self(t, word):
-                return [t]
+        ids, reach, table, to = self.ids, self.reach, self.table, self.to
+        t = ids.get(word)
+        if t is not None:
+            return [t]  # a token that gadgets made, or a byte, is the encoding of its own bytes
         out: list[int] = []
         states = [0]
-        pos, n = 0, len(word)
-        dead: set[int] = set()
-        size = min(longest, n)
+        pos, n, q = 0, len(word), 0
+        dead: set[int] | None = None
+        size = reach.get(word[:HEAD], HEAD - 1)
+        if size > n:
+            size = n
         while pos < n:
-            q = states[-1]
-            found = -1
+            row = table[q]
+            if row is None:
+                row = table[q] = {}
             while size > 0:
-                t = ids.get(word[pos : pos + size], -1)
-                if t >= 0 and pos + size not in dead:
-                    ok = arcs.get((q, t))
+                t = ids.get(word[pos : pos + size])
+                if t is not None and (dead is None or pos + size not in dead):
+                    ok = row.get(t)
                     if ok is None:
-                        if len(arcs) >= ARCS:
-                            arcs.clear()
-                        ok = arcs[(q, t)] = self.has(q, t)
+                        ok = self.learn(q, row, t)
                     if ok:
-                        found = t
                         break
                 size -= 1
-            if found >= 0:
-                out.append(found)
-                states.append(to[found])
+            if size > 0:
+                out.append(t)
+                q = to[t]
+                states.append(q)
                 pos += size
-                size = min(longest, n - pos)
+                size = reach.get(word[pos : pos + HEAD], HEAD - 1)
+                if size > n - pos:
+                    size = n - pos
             else:
                 if not out:
                     raise ValueError("a byte of the text has no token")
+                dead = dead or set()
                 dead.add(pos)
-                back = out.pop()
+                size = len(self.labels[out.pop()])
                 states.pop()
-                size = len(labels[back])
+                q = states[-1]
                 pos -= size
                 size -= 1
         return out
 
-    def to_self(self, t: int, word: bytes) -> bool:
-        """A token that gadgets made is the encoding of its own bytes."""
-        return t in self.born or len(word) == 1
-
+    def learn(self, q: int, row: dict[int, bool], t: int) -> bool:
+        """Works out the arc of state q for token t and keeps it."""
+        self.kept += 1
+        if self.kept > ARCS:
+            self.table = [None] * len(self.parent)
+            self.kept = 0
+            return self.has(q, t)
+        row[t] = self.has(q, t)
+        return row[t]
 
 class Codec:
     """A byte-level BPE tokenizer file, as its library encodes and decodes with it."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
@@ -145,21 +160,25 @@ class Codec:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.automaton = MergeAutomaton({i: as_bytes(s) for s, i in vocab.items() if i not in self.special.values() and s not in self.special}, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
-        self.word = regex.compile(WORD)
-        #: The library's own splitter, for letters of scripts on which Unicode versions differ.
+        #: The library's own splitter, for scripts beyond Latin.
         self.other = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
         self.labels = {str(i).encode(): x for i, x in self.automaton.labels.items()} | {str(i).encode(): s.encode() for s, i in self.special.items()}
+        #: The ids in decimal.
+        self.shown = {i: str(i).encode() for i in self.automaton.labels}
         self.known = _Known(self)
 
     def words(self, chunk: str) -> list[str]:
-        bare = chunk[1:] if chunk[0] == " " else chunk
-        if max(chunk) < "\u0250":
-            return [chunk] if bare.isascii() and bare.isalpha() else self.word.findall(chunk)
+        if not BEYOND.search(chunk):
+            return LATIN.findall(chunk)
         return [chunk[lo:hi] for _, (lo, hi) in self.other(chunk)]
 
     def chunk(self, chunk: str) -> bytes:
-        encode = self.automaton.encode
-        return b",".join([b"%d" % t for w in self.words(chunk) for t in encode(w.encode())])
+        encode, shown = self.automaton.encode, self.shown
+        return b",".join([shown[t] for w in self.words(chunk) for t in encode(w.encode())])
+
+    def parts(self, text: str) -> list[str]:
+        """A text cut into words or, where it holds characters beyond Latin, chunks of some words."""
+        return (CHUNK if BEYOND.search(text) else LATIN).findall(text)
 
     def encode_text(self, text: str) -> bytes:
         """The ids of a whole text in decimal, joined by commas."""
@@ -167,13 +186,13 @@ class Codec:
         if len(known) > CACHE:
             known.turn()
         if self.split is None or not any(s in text for s in self.special):
-            return b",".join(map(known.__getitem__, CHUNK.findall(text)))
+            return b",".join(map(known.__getitem__, self.parts(text)))
         out = []
         for part in self.split(text):
             if part in self.special:
                 out.append(b"%d" % self.special[part])
             elif part:
-                out += map(known.__getitem__, CHUNK.findall(part))
+                out += map(known.__getitem__, self.parts(part))
         return b",".join(out)
 
     def encode(self, text: str) -> list[int]:
@@ -201,7 +220,12 @@ class _Known(dict):
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            ids = self.codec.chunk(chunk)
+            bare = chunk[1:] if chunk[0] == " " else chunk
+            if bare.isalpha() and not BEYOND.search(bare):  # one word
+                shown = self.codec.shown
+                ids = b",".join([shown[t] for t in self.codec.automaton.encode(chunk.encode())])
+            else:
+                ids = self.codec.chunk(chunk)
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
