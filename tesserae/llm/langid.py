@@ -32,8 +32,8 @@ ROUNDS = 2
 MOST_LANGUAGES = 200
 LONGEST = 10
 #: Words whose scores a worker keeps.
-CACHE = 500_000
-CELLS = 400_000
+CACHE = 250_000
+CELLS = 150_000
 
 
 def words(text: str | None) -> list[str]:
