@@ -1,30 +1,39 @@
 """Benchmark decontamination by spaced seeds, with DataFrame functions only.
 
-Texts become lower-case words (runs of letters and digits). A fixed mask such as 11011011 hashes the words under
-its ones and ignores those under its zeros, so a replaced word spoils a hit only where it lies under a one.
-Every position of every document is hashed with every mask, and so is every position of every benchmark item;
-equal hashes give a diagonal (position in the document less position in the item). Around it, the words of the
-whole item are compared with the document's, and a document leaks an item if on one diagonal at least
-`share` of the item's words are equal: replaced words are tolerated, and so is a passage that is cut off or
-broken by an insertion.
-
-Defined results: null or empty texts hold nothing; items with fewer words than a mask is wide (LEAST) take no
+Texts become lower-case words (runs of letters and digits). A document leaks an item if on one diagonal (position in the
+document less position in the item) at least `share` of the item's words are equal: replaced words are tolerated, and
+so is a passage that is cut off or broken by an insertion.
+
+The masks 11 and 101 hash two equal words that are neighbours or have one word between them. If k of an item's n words
+are equal, they have k - 1 gaps, of which at most (n - k) / 2 are wider than the masks. So a leak has at
+least k - 1 - (n - k) / 2 hits, and the item's commonest windows, one fewer than that, need no search: one of the others
+hits. For shares so small that an item may have no hit (0.4 and less), single words are the seeds: of the rarest
+n - k + 1 words of the item at least one is equal. Either way no leak is without a candidate. At each, the words of the
+whole item are compared with the document's. How common a word is is counted in the benchmark; it bears on speed only.
+
+Defined results: null or empty texts hold nothing; items with fewer than LEAST words take no
 part; an item without item_id takes no part; rows without doc_id are searched like others and reported with a
 null doc_id; rows that repeat a doc_id are each searched and reported as one document with the best
 diagonal; repeated item_ids count by their longest overlap. Other columns, whatever their names, are not read.
 
-The benchmark's side is broadcast only if it has at most BROADCAST_WORDS words (counted first); a larger one
-goes through shuffled joins.
+The benchmark's side is broadcast only if it has at most BROADCAST_WORDS words (counted first), and candidates are then
+compared where they arise; a larger one goes through shuffled joins.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import mul
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The fixed masks. A passage of 13 words with one word replaced anywhere still has a hit.
-MASKS = ("11011011", "1110010101")
-LEAST = max(map(len, MASKS))
+from tesserae.llm.common import written
+
+#: The fixed masks: two words at a distance of 1 and 2.
+MASKS = ("11", "101")
+LEAST = 10
 BROADCAST_WORDS = 500_000
 
 
@@ -36,47 +45,76 @@ def hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def seeds(column: str) -> Column:
-    """For an array of word hashes, struct(mask hash, position) of every window of every mask."""
+def _under(mask: str) -> list[int]:
+    return [i for i, c in enumerate(mask) if c == "1"]
+
+
+def _places(column: str, mask: str) -> Column:
+    """The first positions of a mask's windows."""
+    last = F.size(column) - len(mask)
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+
+def _seed(column: str, m: int, mask: str, p: Column) -> Column:
+    return F.xxhash64(F.lit(m), *[F.get(F.col(column), p + i) for i in _under(mask)])
+
+
+def _seeded(df: DataFrame, keys: list[str], masks: tuple[str, ...]) -> DataFrame:
+    """keys, seed, pos for each window of the array of word hashes h."""
 
     def of(m: int, mask: str) -> Column:
-        under = [i for i, c in enumerate(mask) if c == "1"]
-        last = F.size(column) - len(mask)
-        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda p: F.xxhash64(F.lit(m), *[F.get(F.col(column), p + i) for i in under]))
+        return F.transform(_places("h", mask), lambda p: _seed("h", m, mask, p))
+
+    return df.select(*keys, F.explode(F.array(*[of(m, mask) for m, mask in enumerate(masks)])).alias("of_mask")).select(*keys, F.posexplode("of_mask").alias("pos", "seed"))
 
-    return F.array(*[of(m, mask) for m, mask in enumerate(MASKS)])
 
+def hits(n: int, share: float) -> int:
+    """The least number of hits of MASKS in an item of n words of which `share` are equal."""
+    k = math.ceil(share * n)
+    return k - 1 - (n - k) // 2
 
-def _seeded(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, seed, pos for each window."""
-    return df.select(*keys, F.explode(seeds("h")).alias("of_mask")).select(*keys, F.posexplode("of_mask").alias("pos", "seed"))
+
+def _searched(items: DataFrame, share: float, masks: tuple[str, ...], small) -> DataFrame:  # noqa: ANN001
+    """item, item_pos, item_seed of the windows that every leak has a hit among: all but the commonest."""
+    each = items.select("item", F.posexplode("h").alias("p", "w"))
+    counts = each.groupBy(F.col("w").alias("word")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    counts = each.join(small(counts), F.col("w") == F.col("word")).groupBy(F.col("item").alias("i")).agg(F.array_sort(F.collect_list(F.struct("p", "c"))).alias("cs"))
+
+    def of(m: int, mask: str) -> Column:
+        common = lambda p: reduce(mul, [F.get(F.col("cs"), p + i)["c"] for i in _under(mask)])
+        return F.transform(_places("h", mask), lambda p: F.struct((-common(p)).alias("rare"), p.alias("item_pos"), _seed("h", m, mask, p).alias("item_seed")))
+
+    windows = F.concat(*[of(m, mask) for m, mask in enumerate(masks)])
+    n, k = F.size("h"), F.greatest(F.ceil(share * F.size("h")), F.lit(1))
+    spare = k - 1 - (F.floor((n - k) / 2) + 1 if masks == MASKS else 0)
+    kept = F.slice(F.sort_array(windows), (spare + 1).cast("int"), F.greatest(F.size(windows), F.lit(1)))
+    return items.join(small(counts), F.col("item") == F.col("i")).select("item", F.explode(kept).alias("s")).select("item", "s.item_pos", "s.item_seed")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
     """doc_id, item_id, doc_pos (the word at which the item would start; below 0 if cut off), n_match, n_item: one row for each leaked item of a document."""
     items = benchmark.select("item_id", hashes(F.col("text")).alias("h")).filter((F.size("h") >= LEAST) & F.col("item_id").isNotNull())
-    items = items.withColumn("item", F.xxhash64("item_id", "h"))
+    items = items.withColumn("item", F.xxhash64("item_id", "h")).dropDuplicates(["item"])
     n = items.agg(F.coalesce(F.sum(F.size("h")), F.lit(0))).first()[0]
-    small = F.broadcast if n <= BROADCAST_WORDS else (lambda df: df)
-    keyed = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).withColumn("row", F.xxhash64("doc_id", "text"))
-    found = (
-        _seeded(keyed.select("row", hashes(F.col("text")).alias("h")), ["row"])
-        .join(small(_seeded(items, ["item"]).select("item", F.col("pos").alias("item_pos"), F.col("seed").alias("item_seed"))), F.col("seed") == F.col("item_seed"))
-        .select("row", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
-        .groupBy("row", "item")
-        .agg(F.collect_set("diagonal").alias("diagonals"))
-        .select(F.col("row").alias("r"), F.col("item").alias("i"), "diagonals")
-    )
-    both = keyed.join(found, F.col("row") == F.col("r")).select("doc_id", "i", "diagonals", hashes(F.col("text")).alias("doc_h"))
-    both = both.join(small(items.select("item", "item_id", F.col("h").alias("item_h"))), F.col("i") == F.col("item"))
-    equal = lambda d: F.size(F.filter(F.sequence(F.lit(0), F.size("item_h") - 1), lambda p: F.when(p + d >= 0, F.get(F.col("doc_h"), p + d)) == F.get(F.col("item_h"), p)))
-    best = F.array_max(F.transform("diagonals", lambda d: F.struct(equal(d).alias("n"), (-d).alias("d"))))
+    masks = MASKS if all(hits(i, share) >= 1 for i in range(LEAST, 100)) else ("1",)
+    sides = items.select(F.col("item").alias("i"), "item_id", F.col("h").alias("item_h"))
+    keyed = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    found = F.col("seed") == F.col("item_seed")
+    diagonal = (F.col("pos") - F.col("item_pos")).alias("d")
+    if n <= BROADCAST_WORDS:
+        at = _seeded(keyed.select("doc_id", hashes(F.col("text")).alias("h")), ["doc_id", "h"], masks).join(F.broadcast(_searched(items, share, masks, F.broadcast)), found)
+        both = at.select("doc_id", F.col("h").alias("doc_h"), "item", diagonal).join(F.broadcast(sides), F.col("item") == F.col("i"))
+    else:
+        hashed = keyed.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), hashes(F.col("text")).alias("h"))
+        at = _seeded(hashed, ["row"], masks).join(_searched(items, share, masks, lambda df: written(df, "benchmark")), found)
+        at = at.select(F.col("row").alias("r"), "item", diagonal).groupBy("r", "item").agg(F.collect_set("d").alias("ds"))
+        both = hashed.join(at, F.col("row") == F.col("r")).select("doc_id", F.col("h").alias("doc_h"), "item", F.explode("ds").alias("d")).join(sides, F.col("item") == F.col("i"))
+    equal = F.size(F.filter(F.sequence(F.lit(0), F.size("item_h") - 1), lambda p: F.when(p + F.col("d") >= 0, F.get(F.col("doc_h"), p + F.col("d"))) == F.get(F.col("item_h"), p)))
     return (
-        both.select("doc_id", "item_id", F.size("item_h").cast("bigint").alias("n_item"), best.alias("best"))
-        .filter(F.col("best.n") >= share * F.col("n_item"))
+        both.select("doc_id", "item_id", F.size("item_h").cast("bigint").alias("n_item"), "d", equal.alias("n"))
+        .filter(F.col("n") >= share * F.col("n_item"))
         .groupBy("doc_id", "item_id")
-        .agg(F.max(F.struct("best.n", "best.d", "n_item")).alias("m"))
+        .agg(F.max(F.struct("n", (-F.col("d")).alias("d"), "n_item")).alias("m"))
         .select("doc_id", "item_id", (-F.col("m.d")).cast("bigint").alias("doc_pos"), F.col("m.n").cast("bigint").alias("n_match"), F.col("m.n_item").alias("n_item"))
     )
 

@@ -210,6 +210,31 @@ def test_decontamination(spark, monkeypatch, limit):
     assert decontam.leaks(docs.limit(0), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("limit", "share"), [(10**6, 0.5), (0, 0.5), (10**6, 0.25), (10**6, 0.9)])
+def test_every_leak_by_share_is_found(spark, duck, monkeypatch, limit, share):
+    monkeypatch.setattr(decontam, "BROADCAST_WORDS", limit)
+    rnd = random.Random(9)
+    bench = [(j, [f"q{rnd.randrange(300)}" if rnd.random() < 0.7 else "the" for _ in range(n)]) for j, n in enumerate([10, 11, 12, 13, 15, 16, 20, 41])]
+    docs, filler = [], lambda n: [f"f{rnd.randrange(1000)}" for _ in range(n)]
+    for _, item in bench:
+        for k in range(2, 7):  # every k-th word replaced, or only every k-th left
+            for o in range(k):
+                docs.append([f"z{i}" if i % k == o else w for i, w in enumerate(item)])
+                docs.append([w if i % k == o else f"z{i}" for i, w in enumerate(item)])
+        for part in (0.3, 0.4, 0.5, 0.55):
+            docs += [[f"z{i}" if rnd.random() < part else w for i, w in enumerate(item)] for _ in range(10)]
+    docs = [(i, " ".join([*filler(rnd.randrange(5)), *d, *filler(3)])) for i, d in enumerate(docs)]
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(j, " ".join(w)) for j, w in bench], "item_id long, text string"), share)
+    with duck.cursor() as c:
+        c.execute("CREATE TEMP TABLE documents (doc_id BIGINT, text VARCHAR)")
+        c.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+        c.execute("CREATE TEMP TABLE benchmark (item_id BIGINT, text VARCHAR)")
+        c.executemany("INSERT INTO benchmark VALUES (?, ?)", [(j, " ".join(w)) for j, w in bench])
+        want = c.execute(decontam.SQL.replace("0.5 * max(n)", f"{share} * max(n)")).fetchall()
+    assert len(want) > 5
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_decontamination_has_no_python(spark):
     df = queries.QUERIES["op7_decontam"](spark, SMALL)
     shards = queries.QUERIES["op3_shards"](spark, SMALL)
