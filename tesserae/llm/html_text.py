@@ -58,7 +58,6 @@ NOT = {"no", "has", "with", "without", "is"}
 OF_ARTICLE = {"ad", "ads", "advert", "sponsored", "promo", "related", "recommended", "comment", "comments", "reply", "replies", "widget", "sidebar"}
 # Usual class names and ids of what holds the article.
 CONTENT = {"content", "article", "post", "entry", "story", "main", "body"}
-MARKED = r"""(?i)<(?:article|main)[\s/>]|role\s*=\s*["']?main\b|(?:class|id)\s*=\s*["']?[^"'>]*\b(?:content|article|post|entry|story|main)\b"""
 
 
 def _holds_article(attrs: str) -> bool:
@@ -270,23 +269,21 @@ def extracted(pages: DataFrame, least: int = LEAST, chunk: int = CHUNK) -> DataF
     """Per page page_id, url, text, n_chars."""
     import pyarrow as pa
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [" ".join(blocks(h.as_py())[0]) for h in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [blocks(h.as_py())[0] for h in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(found, pa.list_(pa.string()))], names=["page_id", "url", "host", "blocks"])
+            found = [blocks(h.as_py()) for h in b.column(2)]
+            texts = [" ".join(bs) if marks else None for bs, marks in found]
+            rest = [None if marks else bs for bs, marks in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) if t is not None else None for t in texts], pa.int64()), pa.array(rest, pa.list_(pa.string()))], names=["page_id", "url", "text", "n_chars", "blocks"])
 
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
-    shows = F.coalesce(F.col("html").rlike(MARKED), F.lit(False))
-    out = rows.filter(shows).mapInArrow(marked, "page_id bigint, url string, text string, n_chars bigint")
-    open_pages = rows.filter(~shows).withColumn("host", host_of(F.col("url"))).mapInArrow(unmarked, "page_id bigint, url string, host string, blocks array<string>")
-    open_pages = written(open_pages.withColumns({"key": F.xxhash64("blocks"), "n": F.size(F.split(F.array_join("blocks", " "), " "))}), "pages")
+    #: Each page is parsed once: the text if it marks its article, else its blocks.
+    every = written(rows.mapInArrow(parsed, "page_id bigint, url string, text string, n_chars bigint, blocks array<string>"), "pages")
+    out = every.filter(F.col("text").isNotNull()).select("page_id", "url", "text", "n_chars")
+    open_pages = every.filter(F.col("text").isNull()).select("page_id", "url", host_of(F.col("url")).alias("host"), "blocks")
     if not open_pages.head(1):
         return out
+    open_pages = open_pages.withColumns({"key": F.xxhash64("blocks"), "n": F.size(F.split(F.array_join("blocks", " "), " "))})
     return out.unionAll(_by_host(open_pages, least, chunk))
 
 

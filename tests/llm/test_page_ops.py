@@ -210,6 +210,17 @@ def test_decontamination(spark, monkeypatch, limit):
     assert decontam.leaks(docs.limit(0), bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_names_like_an_articles_are_no_marks(spark):
+    boiler = " ".join(f"menu{i}" for i in range(12))
+    looks = [
+        '<nav id="main-menu">m</nav>', '<header class="main-header">h</header>', '<div class="post-meta"></div>', '<link id="main-css">', '<a class="skip-to-content"></a>', "<!-- <main> -->", "", "<article></article>",
+    ]
+    rows = [(i, "http://h.com/", f"{x}<div>{boiler}</div><p>own{i} text{i}</p>") for i, x in enumerate(looks)]
+    rows += [(20 + i, "http://h.com/", f'<div>{boiler}</div><div class="body">{boiler} in{i}</div>') for i in range(2)]  # these mark it
+    want = {i: f"own{i} text{i}" for i in range(len(looks))} | {20 + i: f"{boiler} in{i}" for i in range(2)}
+    assert {r.page_id: r.text for r in html_text.extracted(pages(spark, rows)).collect()} == want
+
+
 @pytest.mark.parametrize(("limit", "share"), [(10**6, 0.5), (0, 0.5), (10**6, 0.25), (10**6, 0.9)])
 def test_every_leak_by_share_is_found(spark, duck, monkeypatch, limit, share):
     monkeypatch.setattr(decontam, "BROADCAST_WORDS", limit)
