@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import vectors as v
+from tesserae.operators.order import placed
 
 # Weights of the signals and of fusion.
 CORE = {"fan_in": 0.4, "reachability": 0.3, "is_public": 0.2}
@@ -115,6 +116,12 @@ def impact(dead: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFrame:
     return dead.join(facts, "node").join(tail, "node", "left").select("node", (F.col("complexity") + F.coalesce("tail", F.lit(0.0))).alias("impact"))
 
 
+def removal_order(v_: DataFrame, key: str = "node") -> DataFrame:
+    """key, place: every dead function, by falling score and then by key."""
+    dead = v_.filter(F.col("state").isin("DefinitelyDead", "ProbablyDead")).select(key, F.round("dead_score", 6).alias("s"))
+    return placed(dead, F.desc("s"), F.asc(key)).select(key, "place")
+
+
 def gate(v_: DataFrame, most_dead: int, most_ratio: float) -> DataFrame:
     """One row: n_dead, ratio, passed."""
     dead = F.coalesce(F.sum(F.col("state").isin("DefinitelyDead", "ProbablyDead").cast("bigint")), F.lit(0))

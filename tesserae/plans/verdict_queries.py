@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import rules
@@ -50,10 +50,8 @@ def deletion_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {VERDICT_SQL} SELECT node, row_number() OVER (ORDER BY round(dead_score, 6) DESC, node)::INTEGER AS place FROM v WHERE state IN ('DefinitelyDead', 'ProbablyDead') QUALIFY place <= 200""")
 def removal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 200 dead functions to remove first."""
-    dead = verdicts(spark, sf_dir).filter(F.col("state").isin("DefinitelyDead", "ProbablyDead")).select("node", F.round("dead_score", 6).alias("s"))
-    top = dead.orderBy(F.desc("s"), "node").limit(200)
-    return top.select("node", F.row_number().over(Window.orderBy(F.desc("s"), "node")).alias("place"))  # over 200 rows at most
+    """The first 200 places, as the SQL has them; the operator places every dead function."""
+    return verdict.removal_order(verdicts(spark, sf_dir)).filter("place <= 200").withColumn("place", F.col("place").cast("int"))
 
 
 @query(f"""WITH RECURSIVE {VERDICT_SQL} SELECT count(*)::BIGINT AS total, sum((state = 'DefinitelyDead')::BIGINT)::BIGINT AS definitely_dead, sum((state = 'ProbablyDead')::BIGINT)::BIGINT AS probably_dead, sum((state = 'Unknown')::BIGINT)::BIGINT AS unknown,

@@ -90,6 +90,13 @@ def test_verdicts(spark):
     assert verdict.stats(verdict.verdicts(f.limit(0))).first().dead_ratio == 0
 
 
+def test_every_dead_function_has_a_place(spark):
+    rows = [(i, (i * 7 % 450) / 500, "DefinitelyDead" if i % 3 else "ProbablyDead" if i % 2 else "Unknown") for i in range(900)]
+    got = verdict.removal_order(spark.createDataFrame(rows, "node long, dead_score double, state string")).collect()
+    want = sorted((r for r in rows if r[2] != "Unknown"), key=lambda r: (-r[1], r[0]))
+    assert len(want) > 200 and {r.node: r.place for r in got} == {r[0]: i for i, r in enumerate(want, 1)}
+
+
 def test_consensus_and_thresholds(spark):
     n = F.lit(None).cast("double")
     x = lambda *v: dedup.consensus(*[n if s is None else F.lit(float(s)) for s in v])
