@@ -30,7 +30,6 @@ LETTERS = re.compile(r"[^\W\d_]+")
 PER_LANGUAGE = 2000
 ROUNDS = 2
 MOST_LANGUAGES = 200
-LONGEST = 10
 #: Words whose scores a worker keeps.
 CACHE = 250_000
 CELLS = 150_000
@@ -47,7 +46,7 @@ def pieces(path: str) -> list[str]:
 
     p = SentencePieceProcessor(model_file=path)
     all_pieces = (p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i)))
-    return sorted({x for x in all_pieces if 0 < len(x) <= LONGEST and x == x.lower() and (x.lstrip("▁").isalpha() or x == "▁") and "▁" not in x[1:]})
+    return sorted({x for x in all_pieces if x and x == x.lower() and (x.lstrip("▁").isalpha() or x == "▁") and "▁" not in x[1:]})
 
 
 class Lattice:
@@ -172,26 +171,39 @@ def expected(lattice: Lattice, p, batch: list[str], counts):  # noqa: ANN001, AN
     total = np.zeros(lattice.n + 1)
     for part in _chunks(batch):
         marked = ["▁" + batch[i] for i in part]
-        if len(marked[-1]) > 100:  # sums would underflow; such words are few and teach nothing about pieces
-            continue
         chars = _matrix(marked)
         ids = lattice.edges(chars)
         n, width = chars.shape
         ends = np.array([len(w) for w in marked])
-        up = np.zeros((n, width + 1))
+        up, down = np.zeros((n, width + 1)), np.zeros((n, width + 1))
+        up_scale, down_scale = np.zeros_like(up), np.zeros_like(down)  # logarithms
+
+        def scaled(sums, scale, lo, hi) -> None:  # noqa: ANN001
+            """Brings the columns that later ones need to a greatest sum of 1, against underflow."""
+            top = sums[:, lo:hi].max(axis=1)
+            top[top <= 0] = 1.0
+            sums[:, lo:hi] /= top[:, None]
+            scale[:, lo:hi] += np.log(top)[:, None]
+
         up[:, 0] = 1
         for i in range(1, width + 1):
+            up_scale[:, i] = up_scale[:, i - 1]
             for k in range(min(len(ids), i)):
                 up[:, i] += up[:, i - k - 1] * p[ids[k][:, i - k - 1]]
-        down = np.zeros((n, width + 1))
+            if i % 8 == 0:
+                scaled(up, up_scale, max(0, i - lattice.longest + 1), i + 1)
         down[np.arange(n), ends] = 1
         for j in range(width - 1, -1, -1):
+            down_scale[:, j] = down_scale[:, j + 1]
             for k in range(min(len(ids), width - j)):
                 down[:, j] += down[:, j + k + 1] * p[ids[k][:, j]]
-        weight = np.asarray(counts, float)[part] / np.maximum(up[np.arange(n), ends], 1e-300)
+            if j % 8 == 0:
+                scaled(down, down_scale, j, min(width, j + lattice.longest - 1) + 1)
+        of_word = np.log(np.maximum(up[np.arange(n), ends], 1e-300)) + up_scale[np.arange(n), ends]
         for k, col in enumerate(ids):
             cells = width - k
-            share = up[:, :cells] * p[col] * down[:, k + 1 :] * weight[:, None]
+            scale = np.exp(np.minimum(up_scale[:, :cells] + down_scale[:, k + 1 :] - of_word[:, None], 700))
+            share = up[:, :cells] * p[col] * down[:, k + 1 :] * scale * np.asarray(counts, float)[part][:, None]
             total += np.bincount(np.where(col < 0, lattice.n + 1, col).ravel(), share.ravel(), lattice.n + 2)[:-1]
     return total
 

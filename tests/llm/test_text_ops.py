@@ -132,6 +132,29 @@ def test_expected_counts_are_those_of_all_segmentations():
     assert np.allclose(langid.expected(lattice, p, ["abba", "xab"], [3, 3]), want)
 
 
+def test_long_words_and_pieces_count():
+    from sentencepiece import SentencePieceProcessor
+
+    p = SentencePieceProcessor(model_file=PIECES)
+    every = {p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))}
+    have = set(langid.pieces(PIECES))
+    assert {x for x in every if x.removeprefix("▁").isalpha() and x == x.lower()} <= have and max(map(len, have)) == 16
+    toy = ["a", "b", "ab", "▁", "ba", "abababababababab"]
+    lattice = langid.Lattice(toy)
+    prob = np.append(np.random.default_rng(1).random(len(toy) + 1), 0) / 10
+    lengths = np.array([*map(len, toy), 1])
+    for word in ("ab" * 25, "ab" * 70, "ax" * 60, "ab" * 3000):  # the pieces of each segmentation make up the word
+        got = langid.expected(lattice, prob, [word, "abba"], [3, 2])
+        assert np.isclose(got @ lengths, 3 * (len(word) + 1) + 2 * 5)
+    word = "ab" * 70  # the derivative of the log-probability by that of a piece is its expected count
+    for i in range(len(toy)):
+        up, down = prob.copy(), prob.copy()
+        up[i] *= 1 + 1e-5
+        down[i] *= 1 - 1e-5
+        (hi,), (lo,) = (langid.forward(lattice, x[:, None], [word])[0] for x in (up, down))
+        assert np.isclose(langid.expected(lattice, prob, [word], [1])[i], (hi - lo) / 2e-5, rtol=1e-4, atol=1e-4)
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = langid.identified(docs, PIECES).join(docs.select("doc_id", "lang"), "doc_id").collect()
