@@ -178,6 +178,14 @@ def truncated(s: Column, tokens: int) -> Column:
     return F.when(F.length(s) <= tokens * 4, s).when(whole != "", whole).otherwise(cut)
 
 
+def chunked(s: Column, tokens: int) -> Column:
+    """The whole text as consecutive chunks of at most tokens * 4 characters, each cut back as `truncated` does; the line end of such a cut is left out."""
+    n = tokens * 4
+    found = F.regexp_extract_all(s, F.lit(f"(?s).{{1,{n}}}\\z|.{{1,{n - 1}}}\n|.{{1,{n}}}"), F.lit(0))
+    cut = F.transform(found, lambda c, i: F.when((i < F.size(found) - 1) & c.endswith("\n"), F.regexp_replace(c, "\n\\z", "")).otherwise(c))
+    return F.when(s == "", F.array(F.lit(""))).otherwise(cut)
+
+
 def stable_id(prefix: str, digits: int, *parts: Column) -> Column:
     """prefix and the first hex digits of a SHA-256 over the parts."""
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, digits))

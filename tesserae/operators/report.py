@@ -28,10 +28,10 @@ def markdown_head(columns: list[str]) -> str:
 
 
 def rag_chunks(df: DataFrame, id_col: str, text: str, tags: list[str], most_tokens: int = 512) -> DataFrame:
-    """id, content (cut to the token limit at a line end), tokens, tags, context."""
-    content = t.truncated(F.col(text), most_tokens)
+    """id, chunk (from 0), content (the text's chunks in order, up to the token limit, cut at line ends), tokens, tags, context."""
     shown = [F.concat(F.lit(f"{c}:"), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in tags]
-    return df.select(F.col(id_col).alias("id"), content.alias("content"), F.array_join(F.array(*shown), ",").alias("tags")).select("id", "content", t.token_estimate(F.col("content")).alias("tokens"), "tags", F.concat(F.lit("chunk "), F.col("id").cast("string"), F.lit(" ["), F.col("tags"), F.lit("]")).alias("context"))
+    rows = df.select(F.col(id_col).alias("id"), F.array_join(F.array(*shown), ",").alias("tags"), F.posexplode_outer(t.chunked(F.col(text), most_tokens)).alias("chunk", "content"))
+    return rows.select("id", F.coalesce("chunk", F.lit(0)).alias("chunk"), "content", t.token_estimate(F.col("content")).alias("tokens"), "tags", F.concat(F.lit("chunk "), F.col("id").cast("string"), F.lit(" ["), F.col("tags"), F.lit("]")).alias("context"))
 
 
 def histogram(df: DataFrame, column: str, edges: list[float]) -> DataFrame:

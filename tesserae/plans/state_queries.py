@@ -45,7 +45,9 @@ def chunk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
   'lang:' || coalesce(lang, '-') || ',source:' || coalesce(source, '-') AS tags FROM documents WHERE text IS NOT NULL)
 SELECT id, md5(content) AS content, {ESTIMATE.format('content')} AS tokens, tags, 'chunk ' || id || ' [' || tags || ']' AS context FROM c""")
 def rag_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.rag_chunks(table(spark, sf_dir, "documents").filter("text is not null"), "doc_id", "text", ["lang", "source"]).withColumn("content", F.md5("content"))
+    """Each text's first chunk, as the SQL has it; the operator gives all of them."""
+    chunks = report.rag_chunks(table(spark, sf_dir, "documents").filter("text is not null"), "doc_id", "text", ["lang", "source"])
+    return chunks.filter("chunk = 0").drop("chunk").withColumn("content", F.md5("content"))
 
 
 @query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS line FROM nation""")

@@ -199,6 +199,23 @@ def test_reports(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "o")).count() == 2
 
 
+def test_chunks_hold_the_whole_text(spark):
+    rnd = random.Random(4)
+    texts = ["", None, "a\n", "x" * 8, "x" * 9, "\nabcdefghijk\n", "é" * 20, *("".join(rnd.choice("ab \n") for _ in range(rnd.randrange(60))) for _ in range(100))]
+    df = spark.createDataFrame([(i, s, "t") for i, s in enumerate(texts)], "id long, s string, tag string")
+    got = {}
+    for r in report.rag_chunks(df, "id", "s", ["tag"], most_tokens=2).orderBy("id", "chunk").collect():
+        got.setdefault(r.id, []).append(r.content)
+        assert r.chunk == len(got[r.id]) - 1
+    for i, s in enumerate(texts):
+        want, rest = [], s
+        while rest is not None and len(rest) > 8:
+            at = rest.rfind("\n", 1, 8)
+            want.append(rest[: at if at > 0 else 8])
+            rest = rest[at + 1 if at > 0 else 8 :]
+        assert got[i] == [*want, rest] if rest or not want else got[i] == want
+
+
 def test_frameworks_and_references(spark):
     lit = F.lit
     got = one(spark, frameworks.is_root(lit("python"), lit("a/x.py"), lit("f"), lit("@app.route('/')")), frameworks.is_root(lit("python"), lit("a/views.py"), lit("f"), lit(None).cast("string")), frameworks.is_root(lit("rust"), lit("a/views.py"), lit("f"), lit(None).cast("string")), frameworks.is_dynamic(lit("go"), lit("http.HandleFunc(x)")))
