@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where none is set (tests on one machine), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where none is set and all run on one machine, a temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found is None:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isDefined():
             return own.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="tesserae-")
@@ -28,6 +30,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder, read again."""
     spark = df.sparkSession
+    ship(spark)
     path = path or new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
