@@ -7,7 +7,9 @@ spreading, are the aliases of one page. If a rule blocks any URL of a component,
 for those that a rule allows by themselves: an explicit allow goes before a block that comes from an alias.
 What no rule and no alias decides is allowed.
 
-A node is a URL without its scheme and fragment. Targets of links count as nodes, whether or not a row has them.
+A node is a URL without its scheme and fragment. Targets of links count as nodes, whether or not a row has them. Links
+count in a page's head only, outside comments, scripts and other elements with raw text; relative ones are resolved against
+the page's base. Tags may be of any length.
 
 Defined results: a null url, or one without ://, has an empty host and path and no rule, and is allowed unless an
 alias is blocked (it has no aliases). Null or empty html has no links. Repeated rows each give a row. Other
@@ -16,13 +18,24 @@ columns, whatever their names, are not read. rules is a short list (each row tri
 
 from __future__ import annotations
 
+import html as entities
+import re
+from collections.abc import Iterator
+from urllib.parse import urljoin
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import components
+from tesserae.llm.common import components, ship
 
 #: (action, host/path)
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+HEAD = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|iframe|xmp)(?=[\s/>])[^>]*+>.*?(?:</\1(?=[\s/>])|\Z)|<(/head|body)(?=[\s/>])|<(link|meta|base)(?=[\s/])((?:"[^"]*+"|'[^']*+'|[^'"<>])*+)>""",
+    re.DOTALL | re.IGNORECASE,
+)
+ATTR = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+""")
+REFRESH = re.compile(r"[\d.\s]*+[;,]?\s*+url\s*+=\s*+(.+)", re.DOTALL | re.IGNORECASE)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,23 +69,48 @@ def rule_of(h: Column, p: Column, rules: list[tuple[str, str]]) -> tuple[Column,
     return text, action
 
 
+def targets(url: str, html: str) -> list[str]:
+    """Where a page's redirects and canonical links lead, as whole URLs: those in the head, outside comments, scripts and the like."""
+    found, base = [], url
+    for m in HEAD.finditer(html):
+        if m.group(2):
+            break
+        if not m.group(3):
+            continue
+        tag, attrs = m.group(3).lower(), {}
+        for name, value in ATTR.findall(m.group(4)):
+            attrs.setdefault(name.lower(), entities.unescape(value[1:-1] if value[:1] in ("'", '"') else value).strip())
+        to = None
+        if tag == "base":
+            base = _joined(url, attrs.get("href")) or base
+        elif tag == "link" and "canonical" in attrs.get("rel", "").lower().split():
+            to = attrs.get("href")
+        elif tag == "meta" and attrs.get("http-equiv", "").lower() == "refresh" and (r := REFRESH.match(attrs.get("content", ""))):
+            to = r.group(1).strip("'\" \t\r\n")
+        if to := _joined(base, to):
+            found.append(to)
+    return found
+
+
+def _joined(base: str, to: str | None) -> str | None:
+    try:
+        return urljoin(base, to) if to else None
+    except ValueError:  # no URL, such as http://[
+        return None
+
+
 def links(pages: DataFrame) -> DataFrame:
     """Edges (a, b) between a page's node and those of its redirects and canonical links."""
-    attr = lambda tag, name: F.regexp_replace(F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1), "^[\"']|[\"']$", "")
-    tags = F.regexp_extract_all("html", F.lit(r"""(?is)(<(?:link|meta)\s(?:"[^"]*"|'[^']*'|[^'">])*>)"""), F.lit(1))
-    found = pages.select("url", "html").filter(F.col("html").rlike("(?i)canonical|refresh")).select("url", F.explode(tags).alias("tag"))
-    # step by step, as each step's columns are used more than once in the next
-    tag = F.col("tag")
-    found = found.select("url", F.lower(attr(tag, "rel")).alias("rel"), F.lower(attr(tag, "http-equiv")).alias("equiv"), attr(tag, "href").alias("href"), attr(tag, "content").alias("content"))
-    refresh = F.regexp_extract("content", r"(?is)url\s*=\s*['\"]?([^'\"]+)", 1)
-    to = F.when(F.col("rel") == "canonical", F.col("href")).when(F.col("equiv") == "refresh", refresh)
-    found = found.select("url", F.trim(F.regexp_replace(to, "&amp;", "&")).alias("to"), F.regexp_extract("url", r"^([^:/?#]*:)//", 1).alias("base"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    to, base, site = F.col("to"), F.col("base"), F.concat(F.col("base"), F.lit("//"), F.col("host"))
-    folder = F.when(F.col("path") == "", "/").otherwise(F.regexp_extract("path", "^(.*/)?", 0))
-    whole = F.when(F.instr(to, "://") > 0, to).when(to.startswith("//"), F.concat(base, to)).when(to.startswith("/"), F.concat(site, to)).otherwise(F.concat(site, folder, to))
-    found = found.filter(to != "").select("url", whole.alias("target"))
-    # behind an explode: conditions on a and b would otherwise be pushed down with all of the above copied into them
-    return found.select(F.explode(F.array(F.struct(node(F.col("url")).alias("a"), node(F.col("target")).alias("b")))).alias("e")).select("e.a", "e.b").filter("a is not null and b is not null and a != b")
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [(u, t) for u, h in zip(b.column(0).to_pylist(), b.column(1), strict=True) for t in targets(u, h.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], names=["a", "b"])
+
+    ship(pages.sparkSession)
+    linked = pages.select("url", "html").filter(F.col("url").contains("://") & F.col("html").rlike("(?i)canonical|refresh"))
+    return linked.mapInArrow(run, "a string, b string").select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")).filter("a is not null and b is not null and a != b")
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES, edges: DataFrame | None = None) -> DataFrame:
@@ -88,7 +126,9 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES, edges: DataFr
     text, action = rule_of(F.col("host"), F.col("path"), rules)
     rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), node(F.col("url")).alias("node"))
     rows = rows.select("page_id", "host", "path", "node", text.alias("rule"), action.alias("action"))
-    out = rows.join(blocked, F.col("node") == F.col("alias"), "left")
+    # rows without a node are spread by a key of their own
+    key = F.coalesce("node", F.concat(F.lit("\0"), F.xxhash64("page_id", "host").cast("string")))
+    out = rows.withColumn("key", key).join(blocked, (F.col("key") == F.col("alias")) & F.col("node").isNotNull(), "left")
     from_alias = F.col("action").isNull() & F.col("alias").isNotNull()
     verdict = F.coalesce(F.col("action"), F.when(F.col("alias").isNotNull(), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), from_alias.alias("via_alias"))

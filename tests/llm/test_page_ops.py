@@ -109,6 +109,22 @@ def test_blocks_spread_over_aliases(spark):
     assert {r.page_id: r.verdict for r in url_filter.judged(pages(spark, rows), edges=more).collect()}[6] == "block"
 
 
+def test_only_links_in_the_head_count(spark):
+    bad = "http://bad.net/x"
+    link = f'<link rel="canonical" href="{bad}">'
+    looks = [
+        (f"<!-- {link} -->", 0), (f"<script>s = '{link}'</script>", 0), (f"<title>{link}</title>", 0), (f"<head></head>{link}", 0), (f"<body>{link}", 0), (f"<!-- {link}", 0),
+        (f"<link title='rel=canonical' href='{bad}'>", 0), ("<link rel=canonical href='http://['>", 0), ("<link rel=canonical>", 0), ("<meta http-equiv=refresh content=30>", 0), (f"<link rel=nocanonical href='{bad}'>", 0),
+        (f"<LINK data-x='a>b' REL='alternate CANONICAL' HREF={bad}>", 1), ("<link rel=canonical href='&#104;ttp://bad.net/x'>", 1), ("<base href='http://bad.net/a/b/'><link rel=canonical href=../../x>", 1),
+        (f"<link {'x ' * 500_000}rel=canonical href='{bad}'>", 1), ("<meta " + "y" * 1_000_000, 0), (f"<link {'y' * 1_000_000} rel=canonical href={bad} ", 0), (f"<meta http-equiv=refresh content='5;URL=&quot;{bad}&quot;'>", 1),
+    ]
+    rows = [(i, f"http://ok{i}.com/", h) for i, (h, _) in enumerate(looks)] + [(99, bad, "")]
+    got = {r.page_id: r.verdict for r in url_filter.judged(pages(spark, rows)).collect()}
+    assert got == {i: "block" if blocked else "allow" for i, (_, blocked) in enumerate(looks)} | {99: "block"}
+    odd = [(1, None, link), (2, "no scheme", link), (3, None, None), (4, "://", link), (4, "://", link)]
+    assert sorted(r.page_id for r in url_filter.judged(pages(spark, odd)).collect()) == [1, 2, 3, 4, 4]
+
+
 def test_archives_round_trip(spark):
     long = "<p>é" + "x" * 200
     rows = [(5, "http://b.com/1", long), (3, "http://a.com/2?q=\t1\n", long), (9, None, long), (7, "http://b.com/1", "short"), (8, "http://b.com/0", "short"), (1, "u", None), (2, "http://a.com/é 漢", ""), (None, "http://n.com/", long), (3, "http://a.com/2?q=\t1\n", long), (11, "http://c.d.e/", "y" * 100), (12, "http://c.d.e/", "y" * 99)]
