@@ -129,7 +129,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     else:
         if mark[0]:
             raise RuntimeError("components did not settle")
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    root = F.col("b").alias("root")
+    return cur.select(F.explode(F.array(F.struct(F.col("a").alias("node"), root), F.struct(F.col("b").alias("node"), root))).alias("x")).select("x.node", "x.root").distinct()
 
 
 def trimmed(edges: DataFrame) -> DataFrame:
