@@ -1,20 +1,23 @@
 """Exact top-k by inner product behind multi-resolution segment statistics.
 
-A vector is cut into 1, 4 and 16 segments; each keeps its sum's share (mean) and its deviation. For two vectors,
+A vector is cut into 1, 4, 16, 32 and 48 segments; each keeps its sum's share (mean) and its deviation. For two vectors,
 sum over segments of length * (mean * mean + deviation * deviation) is at least the inner product (Cauchy-
-Schwarz within each segment), which is the same as a lower bound on their distance. For each block of
-queries a task goes through its candidates block by block: pairs whose coarse bound is under the query's k-th
-best so far go, the rest meets the next finer bound, and what survives all three gets its exact score, in
-integers. Bounds are widened by a relative 1e-9, far over the rounding error of doubles, so none is lost to it.
+Schwarz within each segment), which is the same as a lower bound on their distance. Each block of queries
+first scores SEED candidates exactly, which sets its bars. Then it goes through the candidates block by block:
+pairs whose coarse bound is under the query's k-th best so far go, the rest meets the next finer bound, and what survives
+them all gets its exact score, in integers. Bounds are widened by a relative 1e-9, far over the rounding error of
+doubles, so none is lost to it.
 
-Queries are a stated set (here ids divisible by a number) and meet all rows in blocks of QUERY_BLOCK queries:
-each block is bounded and broadcast, each task keeps k rows a query, and a query's rows are merged behind that.
+Queries are a stated set (here ids divisible by a number) and meet all rows in one scan, however many they are: they lie
+in the shared folder in files of QUERY_BLOCK, and a task that has gathered HELD candidates goes through these
+files one by one. So it holds one block of queries and HELD candidates at a time, and gives k rows a query for each HELD
+candidates; a query's rows are merged behind that.
 
 Components are floor(256 * x) with x as double. Defined results: rows whose vector is null or has a
 null or non-finite component take no part, nor do rows without an id; vectors of different lengths don't
 meet; an empty vector meets none; ties go to the smaller id; rows that repeat an id each take part as candidates
-(but for the query's own id), and a query id is answered once, with its least vector. Scores beyond 64 bits end at
-the limits of long. Other columns, whatever their names, are not read.
+(but for the query's own id), and a query id is answered once, with its least vector that takes part. Scores beyond 64
+bits end at the limits of long. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +27,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import new_path, ship
+
 QUERY_BLOCK = 4096
-CANDIDATES = 2048
-LEVELS = (1, 4, 16)
+#: Candidates that are scored exactly to begin with, that meet a bound at a time, and that a task holds.
+SEED, CANDIDATES, HELD = 256, 1024, 131_072
+LEVELS = (1, 4, 16, 32, 48)
 
 
 def segments(x, pieces: int):  # noqa: ANN001, ANN201
@@ -34,13 +40,10 @@ def segments(x, pieces: int):  # noqa: ANN001, ANN201
     import numpy as np
 
     cuts = np.linspace(0, x.shape[1], min(pieces, x.shape[1]) + 1).astype(int)
-    out = np.empty((len(x), 2 * (len(cuts) - 1)))
-    for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        part = x[:, lo:hi]
-        mean = part.mean(axis=1)
-        out[:, 2 * i] = mean * np.sqrt(hi - lo)
-        out[:, 2 * i + 1] = np.sqrt(((part - mean[:, None]) ** 2).sum(axis=1))
-    return out
+    sizes = np.diff(cuts)
+    mean = np.add.reduceat(x, cuts[:-1], axis=1) / sizes
+    deviation = np.sqrt(np.add.reduceat((x - np.repeat(mean, sizes, axis=1)) ** 2, cuts[:-1], axis=1))
+    return np.concatenate([mean * np.sqrt(sizes), deviation], axis=1)
 
 
 class Best:
@@ -58,23 +61,27 @@ class Best:
         self.found = np.full((len(x), k), 2**63 - 1, np.int64)
         self.filled = np.zeros(len(x), np.int64)
 
+    def bars(self):  # noqa: ANN201
+        """What a pair must reach: each query's k-th best so far."""
+        import numpy as np
+
+        return np.where(self.filled >= self.k, self.scores[:, -1].astype(np.float64), -np.inf)
+
     def survivors(self, ids, f):  # noqa: ANN001, ANN201
-        """The pairs (query, candidate) whose bounds reach the query's k-th best so far."""
+        """The pairs (query, candidate) whose bounds, coarse to fine, reach the query's bar."""
         import numpy as np
 
-        bar = np.where(self.filled >= self.k, self.scores[:, -1].astype(np.float64), -np.inf)
-        norm = np.sqrt((f**2).sum(axis=1))
-        bound = self.stats[0] @ segments(f, LEVELS[0]).T
-        slack = 1e-9 * np.outer(self.norm, norm) + 1e-9
-        q, c = np.nonzero(~(bound + slack < bar[:, None]) & (self.ids[:, None] != ids[None, :]))
+        slack = 1e-9 * self.norm.max(initial=0) * np.sqrt((f**2).sum(axis=1)).max(initial=0) + 1e-9
+        bar = self.bars() - slack
+        theirs = segments(f, LEVELS[0])
+        alive = ~(self.stats[0] @ theirs.T < bar[:, None]) & (self.ids[:, None] != ids[None, :])
         for n, mine in zip(LEVELS[1:], self.stats[1:], strict=True):
-            if len(q) * 2 > len(self.ids) * len(ids):
-                continue  # nothing to be gained yet
-            theirs = segments(f, n)
-            bound = np.einsum("ij,ij->i", mine[q], theirs[c])
-            keep = ~(bound + 1e-9 * self.norm[q] * norm[c] + 1e-9 < bar[q])
-            q, c = q[keep], c[keep]
-        return q, c
+            rows, columns = alive.any(axis=1), alive.any(axis=0)  # only what has a pair left meets the next bound
+            if not rows.any():
+                break
+            bound = mine[rows] @ segments(f[columns], n).T
+            alive[np.ix_(rows, columns)] &= ~(bound < bar[rows][:, None])
+        return np.nonzero(alive)
 
     def take(self, ids, x) -> int:  # noqa: ANN001
         """Takes a block of candidates; returns how many pairs were scored exactly."""
@@ -83,16 +90,20 @@ class Best:
         f = x.astype(np.float64)
         with np.errstate(all="ignore"):
             q, c = self.survivors(ids, f)
-        if not len(q):
+        scored = len(q)
+        if not scored:
             return 0
         if x.dtype == object or self.x.dtype == object:
             pairs = zip(self.x[q].tolist(), x[c].tolist(), strict=True)
             score = np.array([max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(u, v, strict=True)))) for u, v in pairs], np.int64)
-        elif len(q) * 4 < len(self.ids) * len(ids):
+        elif scored * 16 < len(self.ids) * len(ids):
             score = np.einsum("ij,ij->i", self.f[q], f[c]).astype(np.int64)  # all sums are below 2^53
         else:
             score = (self.f @ f.T)[q, c].astype(np.int64)
+        better = (self.filled[q] < self.k) | (score >= self.scores[q, -1])
+        q, c, score = q[better], c[better], score[better]
         held = np.arange(self.k)[None, :] < self.filled[:, None]
+        held[np.setdiff1d(np.arange(len(self.ids)), q)] = False  # queries without news stay as they are
         rows = np.concatenate([np.nonzero(held)[0], q])
         scores, found = np.concatenate([self.scores[held], score]), np.concatenate([self.found[held], ids[c]])
         order = np.lexsort((found, ~scores, rows))  # ~: in falling order, without overflow
@@ -100,8 +111,8 @@ class Best:
         place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(self.ids)))[rows]
         top = place < self.k
         self.scores[rows[top], place[top]], self.found[rows[top], place[top]] = scores[top], found[top]
-        self.filled = np.minimum(self.k, np.bincount(rows, minlength=len(self.ids)))
-        return len(q)
+        self.filled = np.maximum(self.filled, np.minimum(self.k, np.bincount(rows, minlength=len(self.ids))))
+        return scored
 
     def rows(self):  # noqa: ANN201
         """(query ids, candidate ids, scores)."""
@@ -138,42 +149,80 @@ def _vectors(col):  # noqa: ANN001, ANN202
     return out
 
 
-def topk(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def _taking_part(col):  # noqa: ANN001, ANN202
+    """A condition: no null and only finite components."""
+    good = F.forall(col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return col.isNotNull() & good
+
+
+def _met(ids, vectors, files: list[str], k: int):  # noqa: ANN001, ANN202
+    """(query ids, candidate ids, scores, pairs, pairs scored exactly) of candidates against all blocks of queries."""
+    import pyarrow.parquet as pq
+
+    from tesserae.llm.warc import opened
+
+    for file in files:
+        with opened(file) as f:
+            asked = pq.read_table(f).combine_chunks()
+        query_ids = asked.column("id").to_numpy()
+        for size, (at, x) in _vectors(asked.column("v").combine_chunks()).items():
+            if size not in vectors:
+                continue
+            own, y = vectors[size]
+            best, scored = Best(query_ids[at], x, k), 0
+            cuts = [0, *range(min(SEED, len(own)), len(own), CANDIDATES), len(own)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi > lo:
+                    scored += best.take(ids[own[lo:hi]], y[lo:hi])
+            yield (*best.rows(), len(at) * len(own), scored)
+
+
+def topk(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", hold: int = HELD) -> DataFrame:
     """query_id long, rank int, vec_id long, score long: for each id divisible by `every` its k best among all other ids."""
+    found = _candidates(vectors, every, k, id_col, vector, hold).filter("score is not null")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def exact_share(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> float:
+    """The share of all pairs that no bound could spare an exact score."""
+    pairs, scored = _candidates(vectors, every, k, id_col, vector, HELD).agg(F.sum("pairs"), F.sum("scored")).first()
+    return scored / pairs if pairs else 0.0
+
+
+def _candidates(vectors: DataFrame, every: int, k: int, id_col: str, vector: str, hold: int) -> DataFrame:
+    """query_id, vec_id, score: for each `hold` candidates the k best of each query; and rows of (pairs, scored) with nulls there."""
     import pyarrow as pa
 
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
+    ship(spark)
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & _taking_part(F.col("v")))
+    path = new_path(spark, "queries")
     queries = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    n = queries.count()
-    blocks = max(1, -(-n // (QUERY_BLOCK // 2)))
-    parts = []
-    for b in range(blocks if n else 0):
-        mine = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        held = spark.sparkContext.broadcast(mine.toArrow())
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            asked = held.value.combine_chunks()
-            ids = asked.column("id").to_numpy()
-            best = {size: Best(ids[at], x, k) for size, (at, x) in _vectors(asked.column("v").combine_chunks()).items()}
-            for batch in batches:
-                for lo in range(0, batch.num_rows, CANDIDATES):
-                    part = batch.slice(lo, CANDIDATES)
-                    own = part.column(0).to_numpy()
-                    for size, (at, x) in _vectors(part.column(1)).items():
-                        if size in best:
-                            best[size].take(own[at], x)
-            for x in best.values():
-                q, i, s = x.rows()
-                if len(q):
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-        parts.append(rows.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint"))
-    if not parts:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    queries.write.option("maxRecordsPerFile", QUERY_BLOCK).parquet(path)
+    files = sorted(spark.read.parquet(path).inputFiles())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def answered() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            ids, seen, exact = t.column(0).to_numpy(), 0, 0
+            for q, i, s, pairs, scored in _met(ids, _vectors(t.column(1).combine_chunks()), files, k):
+                seen, exact = seen + pairs, exact + scored
+                if len(q):
+                    none = pa.nulls(len(q), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s), none, none], names=names)
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([seen]), pa.array([exact])], names=names)
+            held.clear()
+
+        names = ["query_id", "vec_id", "score", "pairs", "scored"]
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= hold:
+                yield from answered()
+        if held:
+            yield from answered()
+
+    return rows.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, pairs bigint, scored bigint")
