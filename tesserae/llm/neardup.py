@@ -20,8 +20,8 @@ shingles of five words (fewer words: the whole sequence as one). Two documents a
 
 Defined results: a text that is null or without words has n_shingles 0 and is linked with nothing. Equal sets of
 rows without doc_id have a null component_id and are all kept, unless a row with doc_id has the same set. Rows
-that repeat a doc_id each give a row, and count as one node. Empty tables give empty results. Other columns,
-whatever their names, are not read.
+that repeat a doc_id each give a row and count as one node, which links the sets of its texts; of them those without words
+stand for themselves. Empty tables give empty results. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import components, written
+from tesserae.llm.common import components, ship, unused, written
 
 WIDTH = 5
 BANDS, ROWS = 24, 6
@@ -151,7 +151,7 @@ def band_keys(sigs, bands: int = BANDS):  # noqa: ANN001, ANN201
 
 
 def signed(docs: DataFrame, width: int = WIDTH, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles long, cls binary (null: empty set), bands array<long>; no shuffle.
+    """doc_id, text_hash (xxhash64), n_shingles long, cls binary (null: empty set), bands array<long>; no shuffle.
 
     A set that is too small to be linked with another than its equals has no bands.
     """
@@ -163,19 +163,22 @@ def signed(docs: DataFrame, width: int = WIDTH, percent: int = 85) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                sets = [shingles(t.as_py(), width) for t in part.column(1)]
+                sets = [shingles(t.as_py(), width) for t in part.column(2)]
                 keys = band_keys(signatures([s if len(s) >= least else s[:0] for s in sets]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(1),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([k if len(s) >= least else k[:0] for s, k in zip(sets, keys, strict=True)], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "cls", "bands"],
+                    names=["doc_id", "text_hash", "n_shingles", "cls", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, cls binary, bands array<bigint>")
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, cls binary, bands array<bigint>")
 
 
 def links(ids: list[int], blocks: list[int], sets: list, across: bool, percent: int = 85) -> list[tuple[int, int]]:
@@ -261,31 +264,61 @@ def _confirmed(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def grouped(docs: DataFrame, width: int = WIDTH, percent: int = 85) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles long, component_id long, kept boolean."""
+def _rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, cls, component_id, kept of each row of docs."""
     s = written(signed(docs, width, percent), "signatures")
-    classes = (
-        s.filter(F.col("cls").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("cls")
-        .agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min_by("bands", "doc_id").alias("bands"))
-    )
+    with_set = s.filter(F.col("cls").isNotNull() & F.col("doc_id").isNotNull())
+    classes = with_set.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min_by("bands", "doc_id").alias("bands"))
     classes = written(classes, "classes")
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select(F.col("key").alias("k"), "lo")
+    shared = written(banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select(F.col("key").alias("k"), "lo"), "bands")
     near = banded.join(shared, F.col("key") == F.col("k")).filter("rep != lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")).distinct()
     clusters = components(near)
     clusters = clusters.join(classes.groupBy(F.col("rep").alias("r")).agg(F.sum("n_shingles").alias("n_shingles")), F.col("node") == F.col("r")).select("node", "root", "n_shingles")
-    found = components(_confirmed(docs, clusters, width, percent))
+    links = _confirmed(docs, clusters, width, percent)
+    # a doc_id that stands over several sets links them
+    several = written(with_set.groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select(F.col("doc_id").alias("d")), "several")
+    if several.head(1):
+        own = with_set.join(several, F.col("doc_id") == F.col("d")).select("d", F.col("cls").alias("c"))
+        links = links.unionAll(own.join(classes, F.col("c") == F.col("cls")).select(F.col("d").alias("a"), F.col("rep").alias("b")))
+    found = components(links)
     to = classes.select(F.col("cls").alias("c"), "rep").join(found, F.col("rep") == F.col("node"), "left").select("c", F.coalesce("root", "rep").alias("root"))
-    out = s.select("doc_id", "n_shingles", "cls").join(to, F.col("cls") == F.col("c"), "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
+    # rows without a set are spread by a key of their own
+    key = F.coalesce("cls", F.xxhash64("doc_id", "text_hash").cast("string").cast("binary"))
+    out = s.select("doc_id", "text_hash", "n_shingles", "cls", key.alias("key")).join(to, (F.col("key") == F.col("c")) & F.col("cls").isNotNull(), "left")
+    out = out.select("doc_id", "text_hash", "n_shingles", "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def grouped(docs: DataFrame, width: int = WIDTH, percent: int = 85) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles long, component_id long, kept boolean."""
+    return _rows(docs, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = 85) -> DataFrame:
-    """docs without those of a group but its least doc_id; of rows that repeat a doc_id one stays. Columns stay as they are."""
-    flags = written(grouped(docs, width, percent).select("doc_id", "kept"), "kept")
-    keep = flags.filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    twice = flags.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    return out.dropDuplicates(["doc_id"]) if twice.head(1) and not flags.filter("doc_id is null").head(1) else out
+    """docs with one row of each group, of its least doc_id; columns stay as they are.
+
+    Of rows that repeat a doc_id one stays, if possible one with words; of rows without doc_id one of each set
+    that no row with doc_id has stays, and all that have no words.
+    """
+    i, h, mine = unused(docs.columns, "kept_id", "kept_hash", "text_hash")
+    flags = written(_rows(docs, width, percent).filter("kept").select("doc_id", "text_hash", "cls"), "kept")
+    # by doc_id, or without one by set, or without either each by itself
+    group = F.when(F.col("doc_id").isNotNull(), F.struct(F.lit(0).alias("kind"), F.col("doc_id").alias("n"), F.lit(b"").alias("c")))
+    group = group.when(F.col("cls").isNotNull(), F.struct(F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("n"), F.col("cls").alias("c")))
+    group = group.otherwise(F.struct(F.lit(2).alias("kind"), F.col("text_hash").alias("n"), F.lit(b"").alias("c")))
+    best = F.min(F.struct(F.col("cls").isNull().alias("empty"), F.col("text_hash").alias("text_hash"))).alias("best")
+    stays = flags.groupBy(group.alias("g"), "doc_id").agg(best, F.count(F.lit(1)).alias("rows")).select(F.col("doc_id").alias(i), F.col("best.text_hash").alias(h), (F.col("rows") > 1).alias("more"), F.col("g.kind").alias("kind"))
+    stays = written(stays, "stays")
+    tagged = docs.withColumn(mine, F.xxhash64("text"))
+
+    def at(side: DataFrame) -> Column:
+        return F.col("doc_id").cast("bigint").eqNullSafe(side[i]) & (F.col(mine) == side[h])
+
+    keys = stays.select(i, h)
+    out = tagged.join(keys, at(keys), "left_semi")
+    twice = stays.filter("more and kind < 2").select(i, h)
+    if twice.head(1):  # several rows with the same doc_id and text: any one of them
+        more = out.join(twice, at(twice), "left_semi").dropDuplicates(["doc_id", mine])
+        out = out.join(twice, at(twice), "left_anti").unionAll(more)
+    return out.drop(mine)
