@@ -7,10 +7,10 @@ log-probability is the sum over its words, its language the one with the greates
 
 Piece probabilities are fitted by expectation-maximisation: the forward and backward passes give the expected
 count of each piece. Labelled rows beyond `per_language` (expected) in a language are left out of the fit by a hash
-of doc_id; all texts are predicted, whole. Only text and lang of rows that are not held out are learned from.
+of doc_id and text; all texts are predicted, whole. Only text and lang of rows that are not held out are learned from.
 
 Defined results: a null text, or one without letters, is `und` with score 0; without labelled rows all
-texts are. Equal probabilities go to the language first in order. A null doc_id is not held out. More than
+texts are. Rows without doc_id are told apart by their text in the sample. Equal probabilities go to the language first in order. A null doc_id is not held out. More than
 MOST_LANGUAGES different values of lang raise an error, since the model is kept in memory. Repeated rows each give
 a row. Other columns, whatever their names, are not read.
 """
@@ -24,12 +24,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import written
+from tesserae.llm.common import ship, unused, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 PER_LANGUAGE = 2000
 ROUNDS = 2
 MOST_LANGUAGES = 200
+#: What a text must reach to be accepted; see accepted().
+LEAST_SCORE, LETTERS_LEAST, LEAST_FIT = 0.5, 40, 0.45
+#: A word fits a language if its log-probability a sign isn't below FIT times the language's mean.
+FIT = 2.0
 #: Words whose scores a worker keeps.
 CACHE = 250_000
 CELLS = 150_000
@@ -41,12 +45,11 @@ def words(text: str | None) -> list[str]:
 
 
 def pieces(path: str) -> list[str]:
-    """The vocabulary's pieces that can occur in a word."""
+    """The vocabulary's pieces but for control signs, the unknown piece and bytes."""
     from sentencepiece import SentencePieceProcessor
 
     p = SentencePieceProcessor(model_file=path)
-    all_pieces = (p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i)))
-    return sorted({x for x in all_pieces if x and x == x.lower() and (x.lstrip("▁").isalpha() or x == "▁") and "▁" not in x[1:]})
+    return sorted({p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))} - {""})
 
 
 class Lattice:
@@ -213,10 +216,11 @@ def held_out(doc_id) -> F.Column:  # noqa: ANN001
 
 
 def fit(docs: DataFrame, path: str, per_language: int = PER_LANGUAGE, rounds: int = ROUNDS):  # noqa: ANN201
-    """(languages, probabilities as (pieces + 2) x languages) from doc_id, text, lang of rows that are not held out."""
+    """(languages, probabilities as (pieces + 2) x languages, mean log-probability a sign by language) from doc_id, text, lang of rows that are not held out."""
     import numpy as np
     import pyarrow as pa
 
+    ship(docs.sparkSession)
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
     sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
@@ -225,9 +229,9 @@ def fit(docs: DataFrame, path: str, per_language: int = PER_LANGUAGE, rounds: in
     vocabulary = pieces(path)
     n = len(vocabulary)
     if not langs:
-        return [], np.zeros((n + 2, 0))
+        return [], np.zeros((n + 2, 0)), np.zeros(0)
     share = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))]), F.col("lang"))
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
+    sample = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < share * 1_000_003)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -261,7 +265,19 @@ def fit(docs: DataFrame, path: str, per_language: int = PER_LANGUAGE, rounds: in
         # smoothed towards all languages together, and those towards all pieces alike
         every = (c.sum(axis=1) + 1.0 / (n + 1)) / (c.sum() + 1)
         p = np.vstack([(c + 100 * every[:, None]) / (c.sum(axis=0) + 100), np.zeros((1, len(langs)))])
-    return langs, p
+    last = docs.sparkSession.sparkContext.broadcast(p)
+
+    def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = _lattice(path)
+        for b in batches:
+            k = np.array([langs.index(x) for x in b.column(0).to_pylist()])
+            ws, ns = b.column(1).to_pylist(), b.column(2).to_numpy()
+            logs = forward(lattice, last.value, ws)[np.arange(len(k)), k]
+            signs = np.fromiter(map(len, ws), np.int64, len(ws)) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(langs)), pa.int32()), pa.array(np.bincount(k, ns * logs, len(langs))), pa.array(np.bincount(k, ns * signs, len(langs)))], names=["k", "log", "signs"])
+
+    sums = {r.k: r.log / r.signs for r in counted.mapInArrow(rates, "k int, log double, signs double").groupBy("k").agg(F.sum("log").alias("log"), F.sum("signs").alias("signs")).collect() if r.signs}
+    return langs, p, np.array([sums.get(k, 0.0) for k in range(len(langs))])
 
 
 _lattices: dict[str, Lattice] = {}
@@ -273,33 +289,56 @@ def _lattice(path: str) -> Lattice:
     return _lattices[path]
 
 
+def accepted(docs: DataFrame, path: str, languages: list[str] | None = None, least_score: float = LEAST_SCORE, least_fit: float = LEAST_FIT) -> DataFrame:
+    """docs whose text is in one of the languages (None: all that are learned); columns stay as they are.
+
+    A text goes if it has no letters, if another language is predicted, if the prediction's score is under least_score, or
+    if it has LETTERS_LEAST letters or more and less than the share least_fit of them stands in words that fit the
+    predicted language: then no language fits it, although one fits it best. Shorter texts are too short to tell.
+    """
+    names = unused(docs.columns, "lang_pred", "score", "letters", "fit")
+    lang, score, letters, fits = map(F.col, names)
+    found = predicted(docs, path, fit(docs, path), names=names[:2], fit_names=names[2:])
+    keep = (lang != "und") & (score >= least_score) & ((letters < LETTERS_LEAST) | (fits >= least_fit))
+    return found.filter(keep if languages is None else keep & lang.isin(languages)).drop(*names)
+
+
 class Scorer:
     """Scores of words by language, kept for the words seen last."""
 
-    def __init__(self, path: str, prob):  # noqa: ANN001
+    def __init__(self, path: str, prob, rate):  # noqa: ANN001
         import numpy as np
 
-        self.lattice, self.prob = _lattice(path), prob
+        self.lattice, self.prob, self.rate = _lattice(path), prob, rate
         self.at: dict[str, int] = {}
         self.rows = np.zeros((CACHE, prob.shape[1]))
+        self.fits = np.zeros((CACHE, prob.shape[1]), np.int32)
 
     def texts(self, batch: list[list[str]]):  # noqa: ANN201
-        """The log-probability of each list of words."""
+        """The log-probability of each list of words, and how many letters stand in words that fit, both by language."""
         import numpy as np
 
-        out = np.zeros((len(batch), self.prob.shape[1]))
+        out, fits = np.zeros((len(batch), self.prob.shape[1])), np.zeros((len(batch), self.prob.shape[1]))
         for i, ws in enumerate(batch):
             for lo in range(0, len(ws), CACHE // 4):
                 part = ws[lo : lo + CACHE // 4]
                 if len(self.at) + len(part) > CACHE:
                     self.at.clear()
-                new = [w for w in dict.fromkeys(part) if w not in self.at]
-                first = len(self.at)
-                self.at.update(zip(new, range(first, first + len(new)), strict=True))
-                if new:
-                    self.rows[first : first + len(new)] = forward(self.lattice, self.prob, new)
-                out[i] += self.rows[np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))].sum(axis=0)
-        return out
+                self._add([w for w in dict.fromkeys(part) if w not in self.at])
+                at = np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))
+                out[i] += self.rows[at].sum(axis=0)
+                fits[i] += self.fits[at].sum(axis=0)
+        return out, fits
+
+    def _add(self, new: list[str]) -> None:
+        import numpy as np
+
+        if new:
+            first = len(self.at)
+            self.at.update(zip(new, range(first, first + len(new)), strict=True))
+            rows = self.rows[first : first + len(new)] = forward(self.lattice, self.prob, new)
+            sizes = np.fromiter(map(len, new), np.int64, len(new))[:, None]
+            self.fits[first : first + len(new)] = np.where(rows >= FIT * self.rate * (sizes + 1), sizes, 0)
 
     def prepare(self, batch: list[list[str]]) -> None:
         """Scores the new words of many texts together."""
@@ -308,42 +347,44 @@ class Scorer:
             self.at.clear()
             new = list(dict.fromkeys(w for ws in batch for w in ws))
         if len(new) <= CACHE // 2:
-            first = len(self.at)
-            self.at.update(zip(new, range(first, first + len(new)), strict=True))
-            if new:
-                self.rows[first : first + len(new)] = forward(self.lattice, self.prob, new)
+            self._add(new)
+
 
+def predicted(docs: DataFrame, path: str, model: tuple | None = None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score"), fit_names: tuple[str, str] | None = None) -> DataFrame:
+    """docs with lang_pred string and score double (the posterior, all languages alike before) by these names; columns of docs so named are replaced. No shuffle.
 
-def predicted(docs: DataFrame, path: str, model: tuple | None = None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with lang_pred string and score double (the posterior, all languages alike before) by these names; columns of docs so named are replaced. No shuffle."""
+    fit_names: also the number of letters, long, and the share of them that stands in words that fit the predicted language
+    (null without letters), double.
+    """
     import numpy as np
     import pyarrow as pa
 
-    langs, prob = model or fit(docs, path)
-    held = docs.sparkSession.sparkContext.broadcast((langs, prob))
-    new = list(names)
+    ship(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model or fit(docs, path))
+    new = [*names, *(fit_names or ())]
     rest = [c for c in docs.columns if c not in new]
     src = docs.select(*[f"`{c}`" for c in rest])
     at = rest.index(text)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema] + [f"`{names[0]}` string", f"`{names[1]}` double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema] + [f"`{n}` {k}" for n, k in zip(new, ("string", "double", "bigint", "double"), strict=False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, prob = held.value
-        scorer = Scorer(path, prob)
+        langs, prob, rate = held.value
+        scorer = Scorer(path, prob, rate)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 lists = [words(t.as_py()) if langs else [] for t in part.column(at)]
-                pred, score = ["und"] * len(lists), [0.0] * len(lists)
+                pred, score, sizes, share = ["und"] * len(lists), [0.0] * len(lists), [sum(map(len, ws)) for ws in lists], [None] * len(lists)
                 if langs:
                     scorer.prepare(lists)
-                    logs = scorer.texts(lists)
+                    logs, fits = scorer.texts(lists)
                     odds = np.exp(logs - logs.max(axis=1, keepdims=True))
                     odds /= odds.sum(axis=1, keepdims=True)
                     for i, k in enumerate(odds.argmax(axis=1)):
                         if lists[i]:
-                            pred[i], score[i] = langs[k], float(odds[i, k])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*rest, *new])
+                            pred[i], score[i], share[i] = langs[k], float(odds[i, k]), float(fits[i, k]) / sizes[i]
+                more = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sizes, pa.int64()), pa.array(share, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more[: len(new)]], names=[*rest, *new])
 
     return src.mapInArrow(run, schema)
 

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.llm import decontam, html_text, queries, topk, url_filter, warc
 from tesserae.llm.common import components, new_path
@@ -63,7 +64,9 @@ def test_topk_of_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (50, [0.001, -0.001]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, None]), (6, None), (7, []), (8, [1.0]), (100, [3.0]), (None, [1.0, 2.0]), (9, [1e300, 1.0]), (150, [nan, 0.0]), (2, [1.0, 2.0]), (200, [-1.0, -1.0])]
-    got = topk.topk(spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, score string, rank int")).collect()
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, score string, rank int")
+    got = topk.topk(df).collect()
+    assert sorted(got) == sorted(topk.topk(df.repartition(1), hold=1).collect())
 
     def ints(v):
         from fractions import Fraction
@@ -77,6 +80,12 @@ def test_topk_of_odd_vectors(spark, monkeypatch):
             want += [(q, r, c, -s) for r, (s, c) in enumerate(scores[:5], 1)]
     assert sorted(map(tuple, got)) == sorted(want)
     assert topk.topk(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    bad = [(50, [1.0, None]), (50, [2.0, 3.0]), (1, [1.0, 1.0]), (100, None), (100, [float("nan"), 0.0])]  # a query's vectors that take no part don't answer for it
+    assert [tuple(r) for r in topk.topk(spark.createDataFrame(bad, "vec_id long, embedding array<double>")).collect()] == [(50, 1, 1, 327680)]
+
+
+def test_bounds_spare_most_pairs(spark):
+    assert topk.exact_share(spark.read.parquet(f"{SMALL}/../sf0.1/embeddings.parquet").coalesce(1)) < 0.3
 
 
 def test_url_rules(spark):
@@ -332,8 +341,34 @@ def test_pipeline(spark):
     want = {r.doc_id: len(codec.encode(r.text)) for r in after if not leaks(r.text)}
     got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, SMALL).collect()}
     assert got == want
-    odd = spark.createDataFrame([(1, None, "en", "s", 0, 1.0), (2, "", None, "s", 0, 1.0), (3, "words here", "en", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long, __x double")
+    kind = "doc_id long, text string, lang string, source string, n_chars long, __x double"
+    clash = ", __id long, lang_pred string, score double, LETTERS long, fit string, text_hash string, kept_id long, kept_hash long, bad_id long, bad_hash long, component_id long, kept boolean, cls string, __lang_pred string"
+    odd = [(1, None, "en", "s", 0, 1.0), (2, "", None, "s", 0, 1.0), (3, "words here", "en", None, None, None), (None, "words here", "en", None, None, None), (3, "words here", "en", None, None, None), (4, "a " * 200_000, "en", None, None, None)]
+    n = clash.count(",")
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, odd, SMALL)
-        assert out.columns == odd.columns
-        out.count()
+        for rows in (odd, []):
+            df = spark.createDataFrame([(*r, *[None] * n) for r in rows], kind + clash)
+            out = stage(spark, df, SMALL)
+            assert out.columns == df.columns
+            assert out.count() <= len(rows)
+
+
+def test_pipeline_rejects_what_is_in_no_language(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    foreign = ["Это русский текст, который не относится ни к одному из выученных языков и должен быть отвергнут", "xkqz vbnmw qqzzx jjkkw pqxz vvbbn mmnnz xxccz qwzxv bnmzx kjqzw", "12345 !!!", "", None]
+    more = spark.createDataFrame([(10_000 + i, t, None, "s", 0) for i, t in enumerate(foreign)], "doc_id long, text string, lang string, source string, n_chars long")
+    every = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(more.select("doc_id", "text", "lang", "source", F.col("n_chars").cast(docs.schema["n_chars"].dataType)))
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, every, SMALL).collect()) == sorted(r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or ""))
+    corpus_pipeline.LANGUAGES = ["de"]
+    try:
+        left = corpus_pipeline.language_id(spark, every, SMALL).collect()
+    finally:
+        corpus_pipeline.LANGUAGES = None
+    assert left and sum(r.lang == "de" for r in left) >= 0.95 * len(left)
+    corpus_pipeline.LEAST_SCORE, held = 1.1, corpus_pipeline.LEAST_SCORE
+    try:
+        assert corpus_pipeline.language_id(spark, every, SMALL).count() == 0
+    finally:
+        corpus_pipeline.LEAST_SCORE = held
