@@ -3,36 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tesserae.llm import bpe, decontam, langid, neardup
-from tesserae.llm.common import ship, table, written
+from tesserae.llm.common import table, written
 from tesserae.llm.queries import vocabulary
 
+#: What language_id keeps: these languages (None: all that are learned), if the prediction has this score.
+LANGUAGES: list[str] | None = None
+LEAST_SCORE = 0.5
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that have a language: `und` (null, or without letters) goes."""
-    ship(spark)
-    path = vocabulary("piece_bpe_32k.model")
-    found = langid.predicted(docs, path, langid.fit(docs, path), names=("__lang_pred", "__score"))
-    return found.filter(F.col("__lang_pred") != "und").select(*[f"`{c}`" for c in docs.columns])
+    """Keeps the documents in one of LANGUAGES (None: all that the labelled ones teach) with LEAST_SCORE or more.
+
+    A text without letters goes, and so does one of 40 letters or more of which less than 0.45 stand in words that fit the
+    predicted language: it is in none that was learned. A null text or an empty one has no letters; repeated rows
+    are judged alike, and columns stay whatever their names. Without any labelled document all go.
+    """
+    return langid.accepted(docs, vocabulary("piece_bpe_32k.model"), LANGUAGES, LEAST_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the least doc_id."""
-    ship(spark)
+    """Keeps of each group of near-duplicates, linked at 0.85 or more, one row of the least doc_id.
+
+    Texts without words (null, empty) are in no group. Of rows that repeat a doc_id one stays; rows without doc_id are
+    told apart by their texts. Columns stay whatever their names.
+    """
     return neardup.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold at least half of a benchmark item."""
-    ship(spark)
+    """Drops the rows that hold at least half of a benchmark item's words in place, or the whole of a short item.
+
+    Each row is judged by itself, so repeated or null doc_ids change nothing. Null or empty texts stay, and so do columns
+    whatever their names.
+    """
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document its token count and the digests of its ids and of the decoded text."""
-    ship(spark)
+    """Per document its token count and the digests of its ids and of the decoded text; a null text counts as empty."""
     return bpe.digests(docs, vocabulary("byte_bpe_50k.json"))
 
 
