@@ -8,9 +8,13 @@ The index sorts captures by a key of reversed host, rest of the URL and page_id.
 LINES, which are compressed one by one and laid into index files, one for each range of keys. The directory, the
 sparse upper level, has a row for each block: its first and last key and its range in the index file.
 
-find() takes requests (url, page_id) to the range of keys they lie in, there searches the directory
-by bisection for the block, reads the block's range, and searches its lines by bisection for the captures. read()
-reads the records of captures by their ranges, in the order they have in a file.
+find() takes requests (url, page_id) by bisection to the index file they lie in. There the file's directory rows and the
+requests pass in the order of keys, so that a task holds but the blocks at the current key, reads a block's range
+when a request falls in it, and searches its lines by bisection for the captures. read() reads the records of
+captures by their ranges, in the order they have in a file.
+
+Each file starts with a warcinfo record. A record's id is a digest of its file and offset, so that no two share one; the
+page_id stands in a field of its own, and revisits name the response by its URL and page_id.
 
 All files lie in the folder given, which must be shared and one that pyarrow's file systems open (local or mounted
 folders, S3, GCS, HDFS with its library). A file's name is new for each attempt of a task, and only captures that a
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import new_path, written
+from tesserae.llm.common import new_path, ship, written
 
 LEAST = 100
 SEGMENT = 1 << 29
@@ -61,17 +65,29 @@ def key_of(url: str | None, page_id: int | None) -> str:
     return f"{','.join(reversed(host.lower().split('.')))}){tail} {'' if page_id is None else f'{page_id + 2**63:020d}'}"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
-    """One record as a gzip member; first: the response that it revisits."""
-    target = "".join(c if " " < c < "\x7f" or c > "\xa0" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
+def _member(head: list[str], body: bytes, place: str) -> bytes:
+    """A record as a gzip member; place: where it lies, which its id comes from."""
+    head = ["WARC/1.1", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>", f"WARC-Date: {DATE}", *head, f"Content-Length: {len(body)}"]
+    z = zlib.compressobj(3, zlib.DEFLATED, 31)
+    return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + z.flush()
+
+
+def _uri(url: str | None) -> str:
+    return "".join(c if " " < c < "\x7f" or c > "\xa0" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
+
+
+def info(place: str) -> bytes:
+    return _member(["WARC-Type: warcinfo", "Content-Type: application/warc-fields"], b"format: WARC File Format 1.1\r\n", place)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, first_url: str | None, place: str) -> bytes:
+    """One record as a gzip member; first, first_url: the response that it revisits."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http + payload if first is None else http
-    head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {target}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = [f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Page-ID: {'' if page_id is None else page_id}", f"WARC-Target-URI: {_uri(url)}", f"WARC-Payload-Digest: sha256:{digest}"]
     if first is not None:
-        head += [f"WARC-Refers-To: <urn:page:{first}>", f"WARC-Profile: {PROFILE}"]
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
-    z = zlib.compressobj(3, zlib.DEFLATED, 31)
-    return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + z.flush()
+        head += [f"WARC-Refers-To-Target-URI: {_uri(first_url)}", f"WARC-Refers-To-Date: {DATE}", f"WARC-Refers-To-Page-ID: {first}", f"WARC-Profile: {PROFILE}"]
+    return _member([*head, "Content-Type: application/http; msgtype=response"], body, place)
 
 
 def parsed(member: bytes) -> dict:
@@ -84,12 +100,12 @@ def parsed(member: bytes) -> dict:
         raise ValueError("a record doesn't end where it should")
     http, _, payload = body.partition(b"\r\n\r\n")
     length = int(http.rpartition(b"Content-Length: ")[2])
-    number = lambda s: int(s) if (s := s[len("<urn:page:") : -1]) else None
+    number = lambda s: int(s) if s else None
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
     revisit = fields["WARC-Type"] == "revisit"
     if not revisit and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError("a payload doesn't have its digest")
-    return {"page_id": number(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "payload_bytes": length, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number(fields["WARC-Refers-To"]) if revisit else None, "payload": None if revisit else payload}
+    return {"page_id": number(fields["WARC-Page-ID"]), "url": fields["WARC-Target-URI"], "payload_bytes": length, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number(fields["WARC-Refers-To-Page-ID"]) if revisit else None, "payload": None if revisit else payload}
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -100,25 +116,28 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     rows = rows.withColumn("digest", F.sha2("html", 256))
     long = F.octet_length("html") >= LEAST
     # short payloads have keys of their own, so that they aren't dealt to one task
-    same = rows.filter(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").select(F.col("digest").alias("d"), "first")
+    same = rows.filter(long).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1 and f is not null").select(F.col("digest").alias("d"), F.col("f.page_id").alias("first"), F.col("f.url").alias("first_url"))
     same = written(same, "same")  # a table, so that Spark can split the many rows of one payload in the join
     own = F.when(long, F.col("digest")).otherwise(F.concat(F.lit("short "), F.xxhash64("page_id", "url").cast("string")))
     dealt = rows.withColumn("own", own).join(same, F.col("own") == F.col("d"), "left")
-    dealt = dealt.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
+    dealt = dealt.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"), "first_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, file, at = None, "", 0
         try:
             for b in batches:
                 keys, ids, files, offsets, lengths = [], [], [], [], []
-                for page_id, url, html, digest, first in zip(*b.columns, strict=True):
+                for page_id, url, html, digest, first, first_url in zip(*b.columns, strict=True):
                     if out is None or at > SEGMENT:
                         if out is not None:
                             out.close()
                         file, at = f"{folder}/archive/{uuid.uuid4().hex}.warc.gz", 0
                         out = opened(file, write=True)
+                        head = info(file)
+                        out.write(head)
+                        at = len(head)
                     page_id, url = page_id.as_py(), url.as_py()
-                    member = record(page_id, url, html.as_py().encode(), digest.as_py(), first.as_py())
+                    member = record(page_id, url, html.as_py().encode(), digest.as_py(), first.as_py(), first_url.as_py(), f"{file}#{at}")
                     out.write(member)
                     for column, x in zip((keys, ids, files, offsets, lengths), (key_of(url, page_id), page_id, file, at, len(member)), strict=True):
                         column.append(x)
@@ -193,27 +212,47 @@ def find(directory: DataFrame, requests: DataFrame) -> DataFrame:
                     parts.append(bounds[i][2])
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(keys, pa.string())], names=["part", "key"])
 
-    def search(asked: pa.Table, blocks: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(blocks[c].to_pylist() for c in ("first", "last", "offset", "length", "file")), strict=True))
-        firsts, lasts = [r[0] for r in rows], [r[1] for r in rows]
-        wanted: dict[int, list[str]] = {}
-        for key in sorted(set(asked["key"].to_pylist())):
-            for i in range(bisect_left(lasts, key), bisect_right(firsts, key)):
-                wanted.setdefault(i, []).append(key)
-        out: list[tuple] = []
-        for i, keys in wanted.items():
-            _, _, offset, length, file = rows[i]
-            with opened(file) as f:
-                lines = [x.split("\t") for x in zlib.decompress(f.read_at(length, offset)).decode().split("\n")]
-            of = [x[0] for x in lines]
-            for key in keys:
-                for x in lines[bisect_left(of, key) : bisect_right(of, key)]:
-                    out.append((key, int(x[1]) if x[1] else None, x[2], int(x[3]), int(x[4])))
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()))
-        return pa.table({n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate(kinds)})
+        part, key, found = None, None, []
+        held: list[list] = []  # the blocks at the current key: last key, file, offset, length, lines and their keys once read
+        name, f = "", None
+        try:
+            for b in batches:
+                out: list[tuple] = []
+                for p, k, last, file, offset, length in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                    if p != part:
+                        part, key = p, None
+                        held.clear()
+                    if last is not None:
+                        held.append([last, file, offset, length, None, None])
+                        continue
+                    if k == key:  # asked for more than once: each capture once
+                        continue
+                    key = k
+                    while held and held[0][0] < k:
+                        held.pop(0)
+                    for block in held:
+                        if block[4] is None:
+                            if block[1] != name:
+                                if f is not None:
+                                    f.close()
+                                name, f = block[1], opened(block[1])
+                            block[4] = [x.split("\t") for x in zlib.decompress(f.read_at(block[3], block[2])).decode().split("\n")]
+                            block[5] = [x[0] for x in block[4]]
+                        found = block[4][bisect_left(block[5], k) : bisect_right(block[5], k)]
+                        out += [(k, int(x[1]) if x[1] else None, x[2], int(x[3]), int(x[4])) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, (_, kind) in enumerate(kinds)], names=[n for n, _ in kinds])
+        finally:
+            if f is not None:
+                f.close()
 
     routed = requests.select("url", F.col("page_id").cast("bigint")).mapInArrow(route, "part bigint, key string")
-    return routed.groupBy("part").cogroup(directory.groupBy("part")).applyInArrow(search, CAPTURE)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("last", "string"), ("file", "string"), ("offset", "bigint"), ("length", "bigint"))]
+    both = directory.select("part", F.col("first").alias("key"), "last", "file", "offset", "length").unionAll(routed.select("part", "key", *none))
+    # a task for each part; in each the blocks of a key come before the requests for it
+    ordered = both.repartition(max(1, len(bounds)), "part").sortWithinPartitions("part", "key", F.col("last").isNull(), "offset")
+    return ordered.mapInArrow(search, CAPTURE)
 
 
 def read(captures: DataFrame, payload: bool = False) -> DataFrame:
@@ -241,6 +280,7 @@ def read(captures: DataFrame, payload: bool = False) -> DataFrame:
             if f is not None:
                 f.close()
 
+    ship(captures.sparkSession)
     placed = captures.select("file", "offset", "length", (F.col("offset") / READ).cast("bigint").alias("piece"))
     return placed.repartition("file", "piece").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(run, schema)
 
