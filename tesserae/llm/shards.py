@@ -7,7 +7,8 @@ takes keys to itself: nothing moves between the others.
 Slots number the rows of each shard from 0 without gaps. Rows are put into (shard, bucket) groups by a hash of
 the key and the text's checksum; each group is numbered by itself behind the sum of the groups before it. So no
 shard, which holds a fixed part of all rows however many there are, is gathered in one task. The table of
-groups has shards * BUCKETS rows at most, and that bounds what is broadcast.
+groups has MOST_GROUPS rows at most, however many shards there are (more than that are an error), and that bounds what is
+broadcast.
 
 Defined results: a null key counts as a key of its own (all null keys go to one shard); a null text has size 1
 and checksum 0; an empty table gives an empty result. Rows that repeat a key go to the same shard with slots of
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
+MOST_GROUPS = 1 << 18
 
 
 def _score(key: Column, shard: int, weight: float) -> Column:
@@ -40,6 +42,9 @@ def shard_of(key: Column, weights: list[float]) -> Column:
 def sharded(docs: DataFrame, weights: list[float], key: str = "doc_id", text: str = "text", grown_weight: float = 1.0) -> DataFrame:
     """doc_id (the key), size, text_crc32, law, shard, slot and grown_shard (with one more shard of grown_weight) of each row."""
     n = len(weights)
+    if n > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} shards")
+    buckets = max(1, min(BUCKETS, MOST_GROUPS // n)) if n else 1
     rows = docs.select(
         F.col(key).alias("doc_id"),
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1).cast("bigint").alias("size"),
@@ -48,7 +53,7 @@ def sharded(docs: DataFrame, weights: list[float], key: str = "doc_id", text: st
     # nulls pass through xxhash64 without changing the seed: a key's own flag keeps them apart
     k = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
     placed = rows.withColumn("grown_shard", shard_of(k, [*weights, grown_weight]))
-    placed = placed.withColumn("shard", shard_of(k, weights)).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BUCKETS)).cast("int"))
+    placed = placed.withColumn("shard", shard_of(k, weights)).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
     groups = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = groups.select(F.col("shard").alias("s"), F.col("bucket").alias("b"), F.coalesce(before, F.lit(0)).alias("start"))

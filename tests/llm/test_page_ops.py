@@ -153,7 +153,15 @@ def test_archives_round_trip(spark):
     c = captures.filter("page_id = 11").first()  # any reader of gzip finds the record
     with open(c.file.removeprefix("file:"), "rb") as f:
         f.seek(c.offset)
-        assert gzip.decompress(f.read(c.length)).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n")
+        assert b"\r\nWARC-Type: response\r\nWARC-Page-ID: 11\r\n" in gzip.decompress(f.read(c.length))
+    files = {c.file.removeprefix("file:") for c in captures.collect()}
+    whole = [gzip.decompress(open(f, "rb").read()) for f in files]
+    assert all(w.startswith(b"WARC/1.1\r\n") and w.index(b"WARC-Type: warcinfo") < 200 for w in whole)
+    every = [i for w in whole for i in re.findall(rb"WARC-Record-ID: (\S+)", w)]
+    assert len(every) == len(set(every)) == len(rows) + len(files)
+    assert all(b"WARC-Refers-To-Target-URI: http://a.com/2?q=%09" in w for w in whole if b"WARC-Type: revisit" in w)
+    huge = pages(spark, [(1, "http://l.com/", "z" * 3_000_000), (2, "http://l.com/" + "p" * 100_000, "z" * 3_000_000)])
+    assert sorted((r.page_id, r.payload_bytes, r.refers_to) for r in warc.archived(spark, huge).collect()) == [(1, 3_000_000, None), (2, 3_000_000, 1)]
     assert warc.archived(spark, df.limit(0)).count() == 0
 
 
