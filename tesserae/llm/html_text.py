@@ -1,18 +1,22 @@
 """The main text of web pages.
 
-A page that marks its article (`article`, `main`, role main, or else a class or id such as content) says itself what its main text is: the marked part
-without what HTML or usual class names set apart (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments). Repetition must not remove any of that: articles share passages.
-
-For pages without such marks a host's suffix array decides. The words of a host's pages, outside what is set
-apart, are laid one behind the other and their suffixes sorted; neighbours that share at least LEAST words and come
-from distinct pages show boilerplate. Words so covered are removed, and the unique runs stay. Pages are distinct if
-their words differ, so that a repeated page isn't its own boilerplate.
-
-A host may hold a third of all pages, so its pages are dealt into chunks of about CHUNK words. Each chunk sorts its own
-suffixes and tells the distinct first LEAST words among them, each with the least and greatest page; combined over
-all chunks (a map-side combined minimum and maximum), those whose pages differ are repeated, within a chunk or
-across chunks. Each chunk then gets back the ones it holds. The result doesn't depend on the chunks.
+The words of a host's pages are laid one behind the other, their suffixes are sorted, and the longest common prefixes of
+neighbours tell which strings of LEAST or more words stand on which pages. Pages are distinct if their words differ, so that
+a repeated page isn't its own boilerplate. What counts as boilerplate depends on what a page says itself:
+
+* A page that marks its article (`article`, `main`, role main, or else a class or id such as content) gives the
+  marked part without what HTML or usual class names set apart (menus, headers, footers, sidebars, notices, adverts,
+  forms, scripts, styles, reader comments). Articles share passages, so of that only strings go that stand on SHARE or
+  more of a host's distinct pages, of which there must be PAGES or more: a notice that no mark tells from the article.
+* For a page without such marks the suffix array decides alone: strings that stand on two distinct pages of the host
+  without marks are removed, and the unique runs stay.
+
+A host may hold a third of all pages, so its pages are dealt into chunks of about CHUNK words, each with its own
+suffix array. For marked pages a string on SHARE of all pages is on half of the pages of at least one chunk: those are
+the candidates, and how many pages hold them is counted over all pages. For the others each chunk tells the distinct
+first LEAST words of its suffixes, with the least and greatest page; combined over all chunks (a map-side combined minimum
+and maximum), those whose pages differ are repeated, within a chunk or across chunks, and each chunk gets back the ones it
+holds. Neither result depends on the chunks.
 
 Defined results: null or empty html gives an empty text; rows that repeat a page each give a row; a null url
 has the host "". An end of the page inside a tag, comment or element ends all of them. Other columns, whatever
@@ -28,10 +32,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import written
+from tesserae.llm.common import counted, ship, written
 
 LEAST = 8
-CHUNK = 1_000_000
+CHUNK = 500_000
+SHARE, PAGES = 0.9, 10
+#: Pages that a task remembers, so as to send on one copy of each.
+SEEN = 200_000
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?=[!?/a-zA-Z])(/?)([a-zA-Z][^\s/>]*)?((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.DOTALL)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -192,21 +199,37 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def suffix_array(stream):  # noqa: ANN001, ANN201
-    """The order of all suffixes of an array of non-negative integers, by doubling."""
+    """The order of all suffixes of an array of integers, by doubling, and the ranks by 1, 2, 4 and so on first words."""
     import numpy as np
 
     _, rank = np.unique(stream, return_inverse=True)
-    k = 1
+    ranks = [rank.astype(np.int64)]
+    k, n = 1, len(rank)
     while True:
-        after = np.full(len(rank), -1, np.int64)
-        after[:-k] = rank[k:]
-        order = np.lexsort((after, rank))
-        fresh = np.zeros(len(rank), np.int64)
-        fresh[order[1:]] = np.cumsum((rank[order[1:]] != rank[order[:-1]]) | (after[order[1:]] != after[order[:-1]]))
-        rank = fresh
+        key = ranks[-1] * (n + 1)
+        key[:-k] += ranks[-1][k:] + 1  # 0: the suffix ends before
+        order = np.argsort(key, kind="stable")
+        fresh = np.zeros(n, np.int64)
+        fresh[order[1:]] = np.cumsum(np.diff(key[order]) != 0)
+        if k >= n or fresh[order[-1]] == n - 1:
+            return order, ranks
+        ranks.append(fresh)
         k *= 2
-        if k >= len(rank) or rank[order[-1]] == len(rank) - 1:
-            return order
+
+
+def common_prefixes(order, ranks):  # noqa: ANN001, ANN201
+    """For each suffix in order, but the first, the words it shares with the one before, from the ranks."""
+    import numpy as np
+
+    n = len(order)
+    a, b, out = order[:-1].copy(), order[1:].copy(), np.zeros(max(0, n - 1), np.int64)
+    for level in range(len(ranks) - 1, -1, -1):
+        inside = (a < n) & (b < n)
+        same = np.zeros(len(a), bool)
+        same[inside] = ranks[level][a[inside]] == ranks[level][b[inside]]
+        step = same.astype(np.int64) << level
+        out, a, b = out + step, a + step, b + step
+    return out
 
 
 def _stream(pages: list[list[str]]):  # noqa: ANN202
@@ -233,23 +256,46 @@ def _grams(ids, least: int):  # noqa: ANN001, ANN202
     return acc.view(np.int64)
 
 
-def repeated_starts(pages: list[list[str]], keys: list[int], least: int = LEAST):  # noqa: ANN201
-    """(first `least` words as a hash, least page key, greatest page key) for each class of suffixes that share them, from the suffix array."""
+def repeats(pages: list[list[str]], least: int = LEAST):  # noqa: ANN201
+    """The classes of suffixes that share `least` or more words, as (first words as a hash, class, page) of each suffix in order; classes are runs of the suffix array whose common prefixes are that long."""
     import numpy as np
 
     ids, page, left = _stream(pages)
+    none = np.zeros(0, np.int64)
     if len(ids) < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = suffix_array(ids)
-    order = order[left[order] >= least]
-    if not len(order):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams = _grams(ids, least)[order]
-    starts = np.concatenate([[0], np.nonzero(grams[1:] != grams[:-1])[0] + 1])  # neighbours with a shorter common prefix part
-    of = np.asarray(keys, np.int64)[page[order]]
+        return none, none, none
+    order, ranks = suffix_array(ids)
+    shared = common_prefixes(order, ranks)
+    # a page ends with a sign of its own, but where two pages end alike it may be one that another page has, too
+    whole = left[order] >= least
+    cls = np.concatenate([[0], np.cumsum((shared < least) | ~whole[1:] | ~whole[:-1])])
+    return _grams(ids, least)[order[whole]], cls[whole], page[order[whole]]
+
+
+def repeated_starts(pages: list[list[str]], keys: list[int], least: int = LEAST):  # noqa: ANN201
+    """(first `least` words as a hash, least page key, greatest page key) for each class of suffixes that share them, from the suffix array."""
+    import numpy as np
+
+    grams, cls, page = repeats(pages, least)
+    if not len(grams):
+        return grams, grams, grams
+    starts = np.concatenate([[0], np.nonzero(np.diff(cls))[0] + 1])
+    of = np.asarray(keys, np.int64)[page]
     return grams[starts], np.minimum.reduceat(of, starts), np.maximum.reduceat(of, starts)
 
 
+def on_pages(pages: list[list[str]], n: float, least: int = LEAST):  # noqa: ANN201
+    """The first `least` words, as hashes, of the strings that stand on n or more of the pages."""
+    import numpy as np
+
+    grams, cls, page = repeats(pages, least)
+    if not len(grams):
+        return grams
+    both = np.unique(cls * len(pages) + page) // len(pages)
+    often = np.unique(both)[np.unique(both, return_counts=True)[1] >= n]
+    return np.unique(grams[np.isin(cls, often)])
+
+
 def unique_runs(page_blocks: list[str], repeated: set[int], least: int = LEAST) -> str:
     """The text of a page's blocks without the words that repeated runs cover."""
     import numpy as np
@@ -265,37 +311,117 @@ def unique_runs(page_blocks: list[str], repeated: set[int], least: int = LEAST)
     return " ".join(w for w, c in zip(ws, covered.tolist()[:-1], strict=True) if not c)
 
 
-def extracted(pages: DataFrame, least: int = LEAST, chunk: int = CHUNK) -> DataFrame:
+def extracted(pages: DataFrame, least: int = LEAST, chunk: int = CHUNK, share: float = SHARE, fewest: int = PAGES) -> DataFrame:
     """Per page page_id, url, text, n_chars."""
     import pyarrow as pa
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
         for b in batches:
             found = [blocks(h.as_py()) for h in b.column(2)]
-            texts = [" ".join(bs) if marks else None for bs, marks in found]
-            rest = [None if marks else bs for bs, marks in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) if t is not None else None for t in texts], pa.int64()), pa.array(rest, pa.list_(pa.string()))], names=["page_id", "url", "text", "n_chars", "blocks"])
-
+            texts = [" ".join(bs) for bs, _ in found]
+            keys = [xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([m for _, m in found], pa.bool_()), pa.array(texts, pa.string()), pa.array(keys, pa.int64()), pa.array([t.count(" ") + 1 for t in texts], pa.int64())],
+                names=["page_id", "url", "marked", "text", "key", "n"],
+            )
+
+    ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
-    #: Each page is parsed once: the text if it marks its article, else its blocks.
-    every = written(rows.mapInArrow(parsed, "page_id bigint, url string, text string, n_chars bigint, blocks array<string>"), "pages")
-    out = every.filter(F.col("text").isNotNull()).select("page_id", "url", "text", "n_chars")
-    open_pages = every.filter(F.col("text").isNull()).select("page_id", "url", host_of(F.col("url")).alias("host"), "blocks")
-    if not open_pages.head(1):
-        return out
-    open_pages = open_pages.withColumns({"key": F.xxhash64("blocks"), "n": F.size(F.split(F.array_join("blocks", " "), " "))})
-    return out.unionAll(_by_host(open_pages, least, chunk))
+    #: Each page is parsed once: the words of its article, if it marks one, else of what isn't set apart.
+    every = written(rows.mapInArrow(parsed, "page_id bigint, url string, marked boolean, text string, key bigint, n bigint"), "pages").withColumn("host", host_of(F.col("url")))
+    out = _without(every.filter("marked"), _common(every.filter("marked"), least, chunk, share, fewest), least)
+    open_pages = every.filter("not marked")
+    return out.unionAll(_by_host(open_pages, least, chunk)) if open_pages.head(1) else out
+
+
+def _chunks(pages: DataFrame, chunk: int) -> DataFrame:
+    """h, pages, chunks of each host: its distinct pages and into how many chunks they are dealt."""
+    each = pages.groupBy("host", "key").agg(F.max("n").alias("n")).groupBy(F.col("host").alias("h"))
+    return each.agg(F.count(F.lit(1)).alias("pages"), F.greatest(F.ceil(F.sum("n") / chunk), F.lit(1)).alias("chunks"))
+
+
+def _common(pages: DataFrame, least: int, chunk: int, share: float, fewest: int) -> DataFrame | None:
+    """h, grams: by host the strings that stand on `share` of its distinct pages or more, as hashes of LEAST words; None if there are none."""
+    import pyarrow as pa
+
+    hosts = counted(_chunks(pages, chunk).filter(F.col("pages") >= fewest), "hosts")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, None] = {}
+        for b in batches:
+            new = []
+            for i, k in enumerate(b.column(1).to_pylist()):
+                if k in seen:
+                    del seen[k]  # the ones met last stay
+                else:
+                    new.append(i)
+                seen[k] = None
+                if len(seen) > SEEN:
+                    del seen[next(iter(seen))]
+            yield b.take(pa.array(new, pa.int64()))
+
+    def told(key: tuple, t: pa.Table) -> pa.Table:
+        texts = dict(zip(t["key"].to_pylist(), t["text"].to_pylist(), strict=True))
+        grams = on_pages([x.split(" ") for x in texts.values()], share * len(texts) / 2, least) if len(texts) > 1 or key[2].as_py() > 1 else []
+        return pa.table({"host": pa.array([key[0].as_py()] * len(grams), pa.string()), "gram": pa.array(grams, pa.int64())})
+
+    sent = pages.select("host", "key", "text").mapInArrow(once, "host string, key bigint, text string")
+    dealt = sent.join(hosts, F.col("host") == F.col("h")).select("host", F.pmod("key", "chunks").alias("chunk"), "chunks", "key", "text")
+    found = written(dealt.groupBy("host", "chunk", "chunks").applyInArrow(told, "host string, gram bigint").distinct(), "candidates")
+    if not found.head(1):
+        return None
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hosts, keys, grams = [], [], []
+            for host, key, text, wanted in zip(*b.columns, strict=True):
+                mine = _present(text.as_py(), set(wanted.as_py()), least)
+                hosts += [host.as_py()] * len(mine)
+                keys += [key.as_py()] * len(mine)
+                grams += mine
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(grams, pa.int64())], names=["host", "key", "gram"])
+
+    # the candidates of a host are strings on half of a chunk's pages, so no more than twice the words of a page
+    asked = counted(found.groupBy(F.col("host").alias("h")).agg(F.collect_set("gram").alias("grams")), "asked")
+    on = pages.select("host", "key", "text").join(asked, F.col("host") == F.col("h")).select("host", "key", "text", "grams").mapInArrow(held, "host string, key bigint, gram bigint")
+    on = on.distinct().groupBy("host", "gram").agg(F.count(F.lit(1)).alias("on"))
+    most = on.join(hosts, F.col("host") == F.col("h")).filter(F.col("on") >= share * F.col("pages"))
+    most = counted(most.groupBy("h").agg(F.collect_set("gram").alias("grams")), "common")
+    return most if most.head(1) else None
+
+
+def _present(text: str, wanted: set[int], least: int) -> list[int]:
+    ids, _, _ = _stream([text.split(" ")])
+    return list(wanted.intersection(_grams(ids[:-1], least).tolist()))
+
+
+def _without(pages: DataFrame, common: DataFrame | None, least: int) -> DataFrame:
+    """page_id, url, text, n_chars of pages without their host's common strings."""
+    import pyarrow as pa
+
+    if common is None:
+        return pages.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [unique_runs([t], set(g), least) if g else t for t, g in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    joined = pages.join(common, F.col("host") == F.col("h"), "left").select("page_id", "url", "text", "grams")
+    return joined.mapInArrow(cleaned, "page_id bigint, url string, text string, n_chars bigint")
 
 
 def _by_host(open_pages: DataFrame, least: int, chunk: int) -> DataFrame:
     import pyarrow as pa
 
-    chunks = open_pages.groupBy("host").agg(F.ceil(F.sum("n") / chunk).alias("chunks")).select(F.col("host").alias("h"), F.greatest("chunks", F.lit(1)).alias("chunks"))
-    dealt = open_pages.join(chunks, F.col("host") == F.col("h")).withColumn("chunk", F.pmod(F.xxhash64("key", "page_id"), F.col("chunks"))).select("page_id", "url", "host", "chunk", "blocks", "key")
+    chunks = counted(_chunks(open_pages, chunk), "chunks")
+    dealt = open_pages.join(chunks, F.col("host") == F.col("h")).withColumn("chunk", F.pmod(F.xxhash64("key", "page_id"), F.col("chunks"))).select("page_id", "url", "host", "chunk", "text", "key")
+    dealt = written(dealt, "chunks")
 
     def told(key: tuple, t: pa.Table) -> pa.Table:
-        lists = [[w for b in bs or [] for w in b.split()] for bs in t["blocks"].to_pylist()]
-        gram, lo, hi = repeated_starts(lists, t["key"].to_pylist(), least)
+        gram, lo, hi = repeated_starts([x.split() for x in t["text"].to_pylist()], t["key"].to_pylist(), least)
         n = len(gram)
         return pa.table({"host": pa.array([key[0].as_py()] * n, pa.string()), "chunk": pa.array([key[1].as_py()] * n, pa.int64()), "gram": pa.array(gram), "lo": pa.array(lo), "hi": pa.array(hi)})
 
@@ -305,7 +431,7 @@ def _by_host(open_pages: DataFrame, least: int, chunk: int) -> DataFrame:
 
     def cleaned(t: pa.Table, r: pa.Table) -> pa.Table:
         repeated = set(r["gram"].to_pylist())
-        texts = [unique_runs(bs or [], repeated, least) for bs in t["blocks"].to_pylist()]
+        texts = [unique_runs([x], repeated, least) for x in t["text"].to_pylist()]
         return pa.table({"page_id": t["page_id"], "url": t["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
 
     return dealt.groupBy("host", "chunk").cogroup(back.groupBy("host", "chunk")).applyInArrow(cleaned, "page_id bigint, url string, text string, n_chars bigint")

@@ -200,7 +200,33 @@ def test_suffix_array():
     rnd = random.Random(2)
     for _ in range(50):
         s = [rnd.randrange(3) for _ in range(rnd.randint(1, 40))]
-        assert html_text.suffix_array(np.array(s)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+        order, ranks = html_text.suffix_array(np.array(s))
+        assert order.tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+        shared = [next((k for k, (a, b) in enumerate(zip(s[i:], s[j:], strict=False)) if a != b), min(len(s) - i, len(s) - j)) for i, j in zip(order[:-1], order[1:], strict=True)]
+        assert html_text.common_prefixes(order, ranks).tolist() == shared
+
+
+@pytest.mark.parametrize("chunk", [60, 10**6])
+def test_what_most_articles_of_a_host_share_goes(spark, chunk, monkeypatch):
+    rnd = random.Random(8)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    boiler, passage, own = words(12), words(30), {}
+    rows = []
+    for i in range(40):  # in no element and under no name that a list could know
+        parts = [words(15), *([passage] if i % 2 else []), *([boiler] if i else []), words(5)]
+        own[i] = " ".join(w for p in parts if p is not boiler for w in p)
+        rows.append((i, "http://h.com/x", f"<article><div class=zq7><p>{' '.join(w for p in parts for w in p)}</div></article>"))
+    for i in range(40, 60):  # another host: nine distinct pages share it, one of them in copies
+        parts = [words(10) if i < 48 else ["copy"] * 9, boiler]
+        own[i] = " ".join(w for p in parts for w in p)
+        rows.append((i, "http://g.com/", f"<main>{own[i]}</main>"))
+    rows += [(99, "http://h.com/", rows[3][2]), (98, "http://h.com/", "<article></article>")]
+    own |= {99: own[3], 98: ""}
+    got = {r.page_id: r.text for r in html_text.extracted(pages(spark, rows), chunk=chunk).collect()}
+    assert {i: got[i] for i in own} == own
+    monkeypatch.setattr(html_text, "_common", lambda *_: None)  # without the suffix array it stays
+    off = {r.page_id: r.text for r in html_text.extracted(pages(spark, rows), chunk=chunk).collect()}
+    assert all((off[i] == own[i]) == (i == 0 or i >= 40 and i not in (99,)) for i in own)
 
 
 @pytest.mark.parametrize("chunk", [10, 10**6])
