@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import counted, ship, written
 
 LEAST = 8
-CHUNK = 500_000
+CHUNK = 100_000
 SHARE, PAGES = 0.9, 10
 #: Pages that a task remembers, so as to send on one copy of each.
 SEEN = 200_000
@@ -285,15 +285,16 @@ def repeated_starts(pages: list[list[str]], keys: list[int], least: int = LEAST)
 
 
 def on_pages(pages: list[list[str]], n: float, least: int = LEAST):  # noqa: ANN201
-    """The first `least` words, as hashes, of the strings that stand on n or more of the pages."""
+    """(first `least` words as a hash, number of pages) of the strings that stand on n or more of the pages."""
     import numpy as np
 
     grams, cls, page = repeats(pages, least)
     if not len(grams):
-        return grams
-    both = np.unique(cls * len(pages) + page) // len(pages)
-    often = np.unique(both)[np.unique(both, return_counts=True)[1] >= n]
-    return np.unique(grams[np.isin(cls, often)])
+        return grams, grams
+    pairs = np.unique(cls * len(pages) + page) // len(pages)
+    of, on = np.unique(pairs, return_counts=True)
+    first = grams[np.searchsorted(cls, of)]
+    return first[on >= n], on[on >= n]
 
 
 def unique_runs(page_blocks: list[str], repeated: set[int], least: int = LEAST) -> str:
@@ -349,6 +350,9 @@ def _common(pages: DataFrame, least: int, chunk: int, share: float, fewest: int)
     hosts = counted(_chunks(pages, chunk).filter(F.col("pages") >= fewest), "hosts")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdCompressor
+
+        packer = ZstdCompressor(level=6)
         seen: dict[int, None] = {}
         for b in batches:
             new = []
@@ -360,16 +364,25 @@ def _common(pages: DataFrame, least: int, chunk: int, share: float, fewest: int)
                 seen[k] = None
                 if len(seen) > SEEN:
                     del seen[next(iter(seen))]
-            yield b.take(pa.array(new, pa.int64()))
+            b = b.take(pa.array(new, pa.int64()))
+            packed = [packer.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in b.column(2)]  # texts alone would take twice the disk
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["host", "key", "packed"])
 
     def told(key: tuple, t: pa.Table) -> pa.Table:
-        texts = dict(zip(t["key"].to_pylist(), t["text"].to_pylist(), strict=True))
-        grams = on_pages([x.split(" ") for x in texts.values()], share * len(texts) / 2, least) if len(texts) > 1 or key[2].as_py() > 1 else []
-        return pa.table({"host": pa.array([key[0].as_py()] * len(grams), pa.string()), "gram": pa.array(grams, pa.int64())})
-
-    sent = pages.select("host", "key", "text").mapInArrow(once, "host string, key bigint, text string")
-    dealt = sent.join(hosts, F.col("host") == F.col("h")).select("host", F.pmod("key", "chunks").alias("chunk"), "chunks", "key", "text")
-    found = written(dealt.groupBy("host", "chunk", "chunks").applyInArrow(told, "host string, gram bigint").distinct(), "candidates")
+        from zstandard import ZstdDecompressor
+
+        unpack = ZstdDecompressor().decompress
+        texts = dict(zip(t["key"].to_pylist(), t["packed"].to_pylist(), strict=True))
+        grams, on = on_pages([unpack(x).decode("utf-8", "surrogatepass").split(" ") for x in texts.values()], share * len(texts) / 2, least)
+        n = len(grams)
+        return pa.table({"host": pa.array([key[0].as_py()] * n, pa.string()), "gram": pa.array(grams, pa.int64()), "on": pa.array(on, pa.int64()), "of": pa.array([len(texts)] * n, pa.int64())})
+
+    sent = pages.select("host", "key", "text").mapInArrow(once, "host string, key bigint, packed binary")
+    dealt = sent.join(hosts, F.col("host") == F.col("h")).select("host", F.pmod("key", "chunks").alias("chunk"), "key", "packed")
+    found = dealt.groupBy("host", "chunk").applyInArrow(told, "host string, gram bigint, `on` bigint, of bigint")
+    found = written(found.groupBy("host", "gram").agg(F.sum("on").alias("on"), F.sum("of").alias("of")), "candidates")
+    # chunks that don't tell a string have it on less than half of `share` of their pages
+    found = found.join(hosts, F.col("host") == F.col("h")).filter(F.col("on") + share / 2 * (F.col("pages") - F.col("of")) >= share * F.col("pages")).select("host", "gram")
     if not found.head(1):
         return None
 
@@ -383,7 +396,7 @@ def _common(pages: DataFrame, least: int, chunk: int, share: float, fewest: int)
                 grams += mine
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(grams, pa.int64())], names=["host", "key", "gram"])
 
-    # the candidates of a host are strings on half of a chunk's pages, so no more than twice the words of a page
+    # the candidates of a host are on over a third of its pages, so they are no more than three times the words of a page
     asked = counted(found.groupBy(F.col("host").alias("h")).agg(F.collect_set("gram").alias("grams")), "asked")
     on = pages.select("host", "key", "text").join(asked, F.col("host") == F.col("h")).select("host", "key", "text", "grams").mapInArrow(held, "host string, key bigint, gram bigint")
     on = on.distinct().groupBy("host", "gram").agg(F.count(F.lit(1)).alias("on"))
