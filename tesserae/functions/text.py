@@ -186,6 +186,13 @@ def chunked(s: Column, tokens: int) -> Column:
     return F.when(s == "", F.array(F.lit(""))).otherwise(cut)
 
 
+def word_runs(s: Column, width: int) -> Column:
+    """The distinct runs of `width` lower-case words (a-z, 0-9) of a text, joined by blanks; none for null or shorter texts."""
+    w = F.array_remove(F.split(F.lower(F.coalesce(s, F.lit(""))), "[^a-z0-9]+"), "")
+    places = F.when(F.size(w) >= width, F.sequence(F.lit(1), F.size(w) - (width - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice(w, i, width), " ")))
+
+
 def stable_id(prefix: str, digits: int, *parts: Column) -> Column:
     """prefix and the first hex digits of a SHA-256 over the parts."""
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, digits))

@@ -26,7 +26,10 @@ def call_edges(functions: DataFrame, imports: DataFrame) -> DataFrame:
 def facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(functions with fan, reachability, depth and protection; edges) of source files (path, language, source)."""
     p = written(code.parsed(files), "parsed")
-    f = code.functions(p).dropDuplicates(["full_path"])
+    f = code.functions(p)
+    # overloads and others of one name keep their places in the file as part of their path
+    same = f.groupBy(F.col("full_path").alias("same")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    f = f.join(same, F.col("full_path") == F.col("same"), "left").withColumn("full_path", F.when(F.col("same").isNotNull(), F.concat_ws("@", "full_path", F.col("line").cast("string"))).otherwise(F.col("full_path"))).drop("same", "times")
     e = written(call_edges(f, code.imports(p)), "calls")
     c = F.col
     f = f.withColumn("root_kind", rules.root_kind(c("is_test"), c("name"), c("file"), c("is_public"), c("doc")))

@@ -9,7 +9,12 @@ from tesserae.operators import graph
 
 
 def inheritance_depth(extends: DataFrame) -> DataFrame:
-    """node, depth: the least number of steps up to a type without supertypes; extends: (src sub, dst super). Types on cycles only are left out."""
+    """node, depth: the number of steps up to a type without supertypes, each to the first supertype.
+
+    extends: (src sub, dst super, and ord, the supertype's place; without ord the least counts as first). Types that only lead into a cycle are left out.
+    """
+    first = F.min(F.struct("ord", "dst") if "ord" in extends.columns else F.struct("dst")).alias("f")
+    extends = extends.groupBy("src").agg(first).select("src", F.col("f.dst").alias("dst"))
     down = graph.reversed_edges(extends)
     tops = extends.select(F.col("dst").alias("node")).distinct().join(extends.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
     return graph.depth(down, tops)

@@ -160,6 +160,7 @@ def fit(df: DataFrame, features: list[str], weight: str | None = None, steps: in
     mean = [m[f"m_{f}"] or 0.0 for f in features]
     std = [m[f"s_{f}"] if (m[f"s_{f}"] or 0) >= 1e-10 else 1.0 for f in features]
     z = df.select(w0.alias("w"), F.col("y").cast("double").alias("y"), *[((F.col(f) - mu) / sd).alias(f"z{i}") for i, (f, mu, sd) in enumerate(zip(features, mean, std, strict=True))])
+    z = written(z, "standardized")  # each step reads it again
     weights, bias = [0.0] * len(features), 0.0
     for _ in range(steps):
         s = F.lit(bias)

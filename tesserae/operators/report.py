@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as t
+from tesserae.operators.iterate import ship
 
 
 def jsonl(df: DataFrame) -> DataFrame:
@@ -34,6 +37,34 @@ def rag_chunks(df: DataFrame, id_col: str, text: str, tags: list[str], most_toke
     return rows.select("id", F.coalesce("chunk", F.lit(0)).alias("chunk"), "content", t.token_estimate(F.col("content")).alias("tokens"), "tags", F.concat(F.lit("chunk "), F.col("id").cast("string"), F.lit(" ["), F.col("tags"), F.lit("]")).alias("context"))
 
 
+def packed(df: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
+    """df's columns with chunk (from 0 in each group): rows in order are packed until the next would go over `most`; a larger row is alone.
+
+    Where a chunk ends depends on where all before it did, so a group's rows pass through one task, one by one: nothing is held but the running sum.
+    """
+    import pandas as pd
+
+    names = df.columns
+    ship(df.sparkSession)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, chunk, used = object(), 0, 0
+        for p in parts:
+            chunks = []
+            for g, n in zip(p[group], p[size], strict=True):
+                if g != last and not (pd.isna(g) and last is None):
+                    last, chunk, used = None if pd.isna(g) else g, 0, n
+                elif used + n > most:
+                    chunk, used = chunk + 1, n
+                else:
+                    used += n
+                chunks.append(chunk)
+            yield p.assign(chunk=chunks)[[*names, "chunk"]]
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, f"{kinds}, chunk bigint")
+
+
 def histogram(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
     """bucket, n: rows between successive edges, half open; 0 is below the first."""
     b = F.lit(0)

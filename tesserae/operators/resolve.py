@@ -73,8 +73,42 @@ def stats(res: DataFrame) -> DataFrame:
 
 
 def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """src, dst: imports (src, target) joined with files (file, key) by the first of the target's keys that fits: the whole path, then its first part."""
+    """src, dst, rank: imports (src, target) joined with files (file, key) by the first of the target's keys that fits: the whole path, then its first part."""
     target = F.trim(F.regexp_replace("target", "^/+|/+$", ""))
-    tries = imports.select("src", F.posexplode(F.array(target, F.element_at(F.split(target, "/"), 1))).alias("rank", "key")).filter("key != ''")
-    fit = tries.join(files.select("key", "file").distinct(), "key").groupBy("src", "file").agg(F.min("rank").alias("rank"))
-    return fit.select("src", F.col("file").alias("dst"), "rank").distinct()
+    tries = imports.select("src", "target", F.posexplode(F.array(target, F.element_at(F.split(target, "/"), 1))).alias("rank", "key")).filter("key != ''")
+    return _first(tries, files)
+
+
+def _first(tries: DataFrame, files: DataFrame) -> DataFrame:
+    """src, dst, rank of tries (src, target, rank, key): the files of the first key that fits; of several files that one with the least name."""
+    fit = tries.join(files.select("key", "file").distinct(), "key").groupBy("src", "target").agg(F.min(F.struct("rank", "file")).alias("f"))
+    return fit.groupBy("src", F.col("f.file").alias("dst")).agg(F.min("f.rank").alias("rank"))
+
+
+# How a module's file may end.
+SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+
+
+def import_candidates(source: Column, module: Column, most_up: int = 32) -> Column:
+    """The paths, in order, that an import of `module` in the file `source` may mean; none if it is neither relative nor an alias.
+
+    A relative module is taken from the file's folder (. and .. are folded). One that starts with @ or ~ is looked for under
+    src and then directly in each folder upwards, up to most_up of them.
+    """
+    clean = F.regexp_replace(module, "^['\"]+|['\"]+$", "")
+    parts = F.split(source, "/")
+    folder = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    step = lambda path, x: F.when(x.isin("", "."), path).when((x == "..") & (F.size(path) > 0), F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))).otherwise(F.concat(path, F.array(x)))
+    relative = F.array(F.array_join(F.aggregate(F.split(clean, "/"), folder, step), "/"))
+    name = F.regexp_replace(clean, "^@*~*/*", "")
+    up = F.transform(F.sequence(F.lit(0), F.least(F.size(folder), F.lit(most_up))), lambda i: F.slice(folder, 1, F.size(folder) - i))
+    join = lambda path, *tail: F.array_join(F.concat(path, F.array(*tail)), "/")
+    alias = F.flatten(F.transform(up, lambda p: F.array(join(p, F.lit("src"), name), join(p, name))))
+    bases = F.when(clean.startswith("."), relative).when(clean.rlike("^[@~]"), alias).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(bases, lambda b: F.array(*[F.concat(b, F.lit(s)) for s in SUFFIXES])))
+
+
+def relative_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """src, dst, rank: imports (src, the importing file; target) joined with files (file) by the first candidate path that is one."""
+    tries = imports.select("src", "target", F.posexplode(import_candidates(F.col("src"), F.col("target"))).alias("rank", "key"))
+    return _first(tries, files.select(F.col("file").alias("key"), "file"))

@@ -1,7 +1,6 @@
 """Frames of code facts, derived from the test tables, for the graph, rule and verdict queries.
 
-Parts stand for functions and consecutive lines of an order for calls between them (both quantities at least a
-threshold, the parts different). CTES has the same frames in SQL.
+Parts stand for functions and successive lines of an order for calls between them. The same frames are here in SQL.
 """
 
 from __future__ import annotations
@@ -12,11 +11,21 @@ from pyspark.sql import functions as F
 from tesserae.plans.registry import table
 
 
-def calls(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
-    """src, dst; parallel edges stay."""
+def successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, alike: all pairs of successive lines of an order with different parts, and whether both are taxed alike; parallel edges stay."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", F.lead("l_partkey").over(w).alias("dst"), F.lead("l_quantity").over(w).alias("q"))
-    return rows.filter((F.col("l_quantity") >= least) & (F.col("q") >= least) & (F.col("dst") != F.col("l_partkey"))).select(F.col("l_partkey").alias("src"), "dst")
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_tax", F.lead("l_partkey").over(w).alias("dst"), F.lead("l_tax").over(w).alias("tax"))
+    return rows.filter(F.col("dst") != F.col("l_partkey")).select(F.col("l_partkey").alias("src"), "dst", (F.col("l_tax") == F.col("tax")).alias("alike"))
+
+
+def every_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst of all pairs: the multigraph that degrees are counted in."""
+    return successors(spark, sf_dir).select("src", "dst")
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst: a call is a pair that is taxed alike. All pairs would make one component in which everything reaches everything in three steps."""
+    return successors(spark, sf_dir).filter("alike").select("src", "dst")
 
 
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +43,9 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def calls_sql(least: float) -> str:
-    return f"""succ AS (SELECT l_partkey AS src, l_quantity AS q0, lead(l_partkey) OVER w AS dst, lead(l_quantity) OVER w AS q1 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
-calls AS (SELECT src, dst FROM succ WHERE q0 >= {least} AND q1 >= {least} AND src <> dst)"""
+_SUCC = """succ AS (SELECT l_partkey AS src, l_tax AS t0, lead(l_partkey) OVER w AS dst, lead(l_tax) OVER w AS t1 FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice))"""
+EVERY_CALL_SQL = f"{_SUCC}, calls AS (SELECT src, dst FROM succ WHERE src <> dst)"
+CALLS_SQL = f"{_SUCC}, calls AS (SELECT src, dst FROM succ WHERE t0 = t1 AND src <> dst)"
 
 
 FUNCTIONS_SQL = """functions AS (SELECT p_partkey AS node, replace(p_name, ' ', '_') AS name,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.functions import text as t
 from tesserae.operators import learn
 from tesserae.plans.registry import query, table
 
@@ -95,13 +96,26 @@ def repo_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.split_groups(table(spark, sf_dir, "documents"), "source")
 
 
-@query(f"""WITH {SPLIT}, d AS (SELECT split, source, lang, md5(text) AS body FROM documents JOIN sp USING (source)), tr AS (SELECT * FROM d WHERE split = 'train'), te AS (SELECT * FROM d WHERE split <> 'train'),
-x AS (SELECT 'source' AS test, count(*) AS n FROM (SELECT source FROM tr INTERSECT SELECT source FROM te) UNION ALL SELECT 'lang', count(*) FROM (SELECT lang FROM tr INTERSECT SELECT lang FROM te) UNION ALL SELECT 'body', count(*) FROM (SELECT body FROM tr INTERSECT SELECT body FROM te))
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')"
+_SHINGLES = "CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [] END"
+_BOTH = "SELECT '{0}' AS test, count(*) AS n FROM (SELECT {1} FROM tr WHERE {1} IS NOT NULL INTERSECT SELECT {1} FROM te)"
+
+
+@query(f"""WITH {SPLIT}, d AS (SELECT split, source, source || '/' || lang AS file, substr(text, 1, instr(text || ' ', ' ') - 1) AS symbol, md5(text) AS body, CASE WHEN contains(text, 'All rights reserved') THEN md5(text) END AS generated FROM documents JOIN sp USING (source)),
+tr AS (SELECT * FROM d WHERE split = 'train'), te AS (SELECT * FROM d WHERE split <> 'train'),
+s AS (SELECT DISTINCT unnest({_SHINGLES}) AS x FROM (SELECT {_WORDS} AS w FROM documents)), b AS (SELECT DISTINCT unnest({_SHINGLES}) AS x FROM (SELECT {_WORDS} AS w FROM benchmark)),
+x AS ({" UNION ALL ".join(_BOTH.format(*c) for c in (("repository", "source"), ("file", "file"), ("symbol", "symbol"), ("duplicate", "body"), ("generated", "generated")))} UNION ALL SELECT 'benchmark', count(*) FROM (SELECT x FROM s INTERSECT SELECT x FROM b))
 SELECT test, n::BIGINT AS n_shared, n > 0 AS leaked FROM x""")
 def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five tests between the splits, and the three-word shingles that documents share with the benchmark."""
     d = table(spark, sf_dir, "documents")
-    d = d.join(learn.split_groups(d, "source"), "source").select("split", "source", "lang", F.md5("text").alias("body"))
-    return learn.overlap(d.filter("split = 'train'"), d.filter("split != 'train'"), ["source", "lang", "body"])
+    every = d.select(F.explode(t.word_runs(F.col("text"), 3)).alias("benchmark")).distinct()
+    asked = table(spark, sf_dir, "benchmark").select(F.explode(t.word_runs(F.col("text"), 3)).alias("benchmark")).distinct()
+    d = d.join(learn.split_groups(d, "source"), "source")
+    symbol = F.substring_index("text", " ", 1)
+    generated = F.when(F.col("text").contains("All rights reserved"), F.md5("text"))
+    d = d.select("split", F.col("source").alias("repository"), F.concat("source", F.lit("/"), "lang").alias("file"), symbol.alias("symbol"), F.md5("text").alias("duplicate"), generated.alias("generated"))
+    return learn.overlap(d.filter("split = 'train'"), d.filter("split != 'train'"), ["repository", "file", "symbol", "duplicate", "generated"]).unionAll(learn.overlap(every, asked, ["benchmark"]))
 
 
 @query(f"WITH {SPLIT} SELECT source, count(*)::BIGINT AS n_docs FROM documents JOIN sp USING (source) WHERE split = 'test' GROUP BY source")

@@ -32,22 +32,28 @@ def compress_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_before", F.length("short").cast("bigint").alias("n_after"), F.md5("short").alias("digest"))
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, {ESTIMATE.format('text')} AS tokens FROM conversations), r AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS upto FROM t)
-SELECT conv_id, turn, tokens, ((upto - tokens) // 200)::BIGINT AS chunk FROM r""")
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, turn, {ESTIMATE.format("coalesce(text, '')")} AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+w AS (SELECT conv_id, turn, tokens, i, 0::BIGINT AS chunk, tokens AS used FROM t WHERE i = 1
+  UNION ALL SELECT t.conv_id, t.turn, t.tokens, t.i, chunk + (used + t.tokens > 200)::BIGINT, CASE WHEN used + t.tokens > 200 THEN t.tokens ELSE used + t.tokens END FROM w JOIN t ON t.conv_id = w.conv_id AND t.i = w.i + 1)
+SELECT conv_id, turn, tokens, chunk FROM w""")
 def chunk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns packed into chunks by the tokens before them."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.token_estimate(F.col("text")).alias("tokens"))
-    before = F.sum("tokens").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
-    return c.select("conv_id", "turn", "tokens", F.floor(before / 200).cast("bigint").alias("chunk"))
+    """Turns packed in order into chunks of at most 200 tokens; a longer turn has a chunk of its own."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return report.packed(c, "conv_id", "turn", "tokens", 200)
 
 
-@query(f"""WITH c AS (SELECT doc_id AS id, CASE WHEN length(text) <= 2048 THEN text WHEN instr(substr(text, 1, 2048), chr(10)) > 1 THEN substr(text, 1, 2048 - strpos(reverse(substr(text, 1, 2048)), chr(10))::INTEGER) ELSE substr(text, 1, 2048) END AS content,
-  'lang:' || coalesce(lang, '-') || ',source:' || coalesce(source, '-') AS tags FROM documents WHERE text IS NOT NULL)
-SELECT id, md5(content) AS content, {ESTIMATE.format('content')} AS tokens, tags, 'chunk ' || id || ' [' || tags || ']' AS context FROM c""")
+_LAST_LINE = "(2049 - strpos(reverse(substr({0}, 1, 2048)), chr(10)))"
+_CUT = f"CASE WHEN length({{0}}) <= 2048 THEN length({{0}}) WHEN contains(substr({{0}}, 2, 2047), chr(10)) THEN {_LAST_LINE} ELSE 2048 END"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id AS id, 0 AS chunk, text AS rest, {_CUT.format("text")} AS n, lang, source FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT id, chunk + 1, substr(rest, n + 1), {_CUT.format("substr(rest, n + 1)")}, lang, source FROM c WHERE length(rest) > n),
+d AS (SELECT id, chunk, CASE WHEN length(rest) > n AND substr(rest, n, 1) = chr(10) THEN substr(rest, 1, n - 1) ELSE substr(rest, 1, n) END AS content, 'lang:' || coalesce(lang, '-') || ',source:' || coalesce(source, '-') AS tags FROM c)
+SELECT id, chunk, md5(content) AS content, {ESTIMATE.format('content')} AS tokens, tags, 'chunk ' || id || ' [' || tags || ']' AS context FROM d""")
 def rag_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text's first chunk, as the SQL has it; the operator gives all of them."""
+    """The whole texts in chunks."""
     chunks = report.rag_chunks(table(spark, sf_dir, "documents").filter("text is not null"), "doc_id", "text", ["lang", "source"])
-    return chunks.filter("chunk = 0").drop("chunk").withColumn("content", F.md5("content"))
+    return chunks.withColumn("content", F.md5("content"))
 
 
 @query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS line FROM nation""")
@@ -81,23 +87,34 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(k, F.lit(-1)).alias("k"), "event_type")
 
 
-@query("""WITH a AS (SELECT replace(p_name, ' ', '_') AS x, min(p_partkey) AS id FROM part GROUP BY 1), p AS (SELECT a.x AS a, b.x AS b FROM a JOIN a b ON split_part(a.x, '_', 1) = split_part(b.x, '_', 1) AND a.x < b.x)
-SELECT a, b, levenshtein(a, b)::INTEGER AS distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS ratio FROM p""")
+@query("""WITH a AS (SELECT replace(p_name, ' ', '_') AS x, min(p_partkey) AS id FROM part GROUP BY 1), p AS (SELECT q.x AS a, c.x AS b FROM a q JOIN a c ON q.id % 100 = 0 AND q.x <> c.x),
+d AS (SELECT a, b, levenshtein(a, b)::INTEGER AS distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS ratio FROM p) SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY distance, b) <= 5""")
 def levenshtein_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct part names of the same first word."""
-    names = table(spark, sf_dir, "part").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("x")).distinct().withColumn("w", F.element_at(F.split("x", "_"), 1))
-    p = names.select(F.col("x").alias("a"), "w").join(names.select(F.col("x").alias("b"), "w"), "w").filter("a < b")
-    return p.select("a", "b", F.levenshtein("a", "b").alias("distance"), F.round(t.levenshtein_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
-
-
-@query("""WITH d AS (SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) END AS l, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS w, text, lang FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, round(w / 1000.0, 6)::DOUBLE AS f0, round(l / 100.0, 6)::DOUBLE AS f1, round(((length(text) - length(replace(text, 'if', ''))) // 2 + (length(text) - length(replace(text, 'else', ''))) // 4 + (length(text) - length(replace(text, 'for', ''))) // 3 + (length(text) - length(replace(text, 'while', ''))) // 5
-  + (length(text) - length(replace(text, 'match', ''))) // 5 + (length(text) - length(replace(text, 'switch', ''))) // 6) / 20.0, 6)::DOUBLE AS f8, round(length(lang) / 50.0, 6)::DOUBLE AS f12 FROM d""")
+    """For each distinct part name whose least part is divisible by 100 the five names nearest to it of all."""
+    names = table(spark, sf_dir, "part").groupBy(F.replace("p_name", F.lit(" "), F.lit("_")).alias("x")).agg(F.min("p_partkey").alias("id"))
+    asked = names.filter("id % 100 = 0").select(F.col("x").alias("a"))
+    blocks = max(1, -(-asked.count() // 8192))
+    out = None
+    for i in range(blocks):
+        met = names.join(F.broadcast(asked.filter(F.pmod(F.xxhash64("a"), F.lit(blocks)) == i)), F.col("a") != F.col("x")).select("a", F.col("x").alias("b"), F.levenshtein("a", "x").alias("distance"))
+        out = met if out is None else out.unionAll(met)
+    near = out.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).filter("place <= 5")
+    return near.select("a", "b", "distance", F.round(t.levenshtein_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
+def _counts_sql(words: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"(length(text) - length(replace(text, '{w}', ''))) // {len(w)}" for w in words) + ")"
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\\r?\\n$', ''), chr(10)) END AS rows, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS w, text, lang, source FROM documents WHERE text IS NOT NULL),
+c AS (SELECT *, len(rows) AS l, len(list_filter(rows, lambda x: starts_with(ltrim(x), '//') OR starts_with(ltrim(x), '/*'))) AS comments, length(source) AS params, length(lang) AS returns FROM d)
+SELECT doc_id, round(w / 1000.0, 6)::DOUBLE AS f0, round(l / 100.0, 6)::DOUBLE AS f1, round(l / 50.0, 6)::DOUBLE AS f2, round(params / 10.0, 6)::DOUBLE AS f3, round(returns / 5.0, 6)::DOUBLE AS f4, (lang = 'de')::INTEGER::DOUBLE AS f5, (lang = 'en')::INTEGER::DOUBLE AS f6,
+  round((params + returns) / 10.0, 6)::DOUBLE AS f7, round({_counts_sql(t.CONTROL_FLOW)} / 20.0, 6)::DOUBLE AS f8, round({_counts_sql(t.ERRORS)} / 10.0, 6)::DOUBLE AS f9, round(comments / 50.0, 6)::DOUBLE AS f10, round({_counts_sql(t.TYPES)} / 10.0, 6)::DOUBLE AS f11, round(returns / 50.0, 6)::DOUBLE AS f12 FROM c""")
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four of the 13 text features by place."""
-    zero, no = F.lit(0), F.lit(False)
-    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", v.text_features(F.col("text"), F.col("lang"), F.lit(1.0), zero, zero, no, no).alias("f"))
-    return d.select("doc_id", *[F.round(F.col("f")[i], 6).alias(f"f{i}") for i in (0, 1, 8, 12)])
+    """The 13 text features by place; lines stand for complexity, the names of source and language for parameters and returns."""
+    d, lang = table(spark, sf_dir, "documents").filter("text is not null"), F.col("lang")
+    f = v.text_features(F.col("text"), lang, F.size(t.lines(F.col("text"))), F.length("source"), F.length("lang"), lang == "de", lang == "en")
+    return d.select("doc_id", f.alias("f")).select("doc_id", *[F.round(F.col("f")[i], 6).alias(f"f{i}") for i in range(13)])
 
 
 @query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS call, l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem), k AS (SELECT call, min(l_suppkey) AS file, min('Supplier#' || lpad((l_partkey % 150)::VARCHAR, 9, '0')) AS name, min(l_partkey % 25) AS import FROM c GROUP BY call),
@@ -118,7 +135,7 @@ def resolve_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINKS = "h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages), f AS (SELECT DISTINCT split_part(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '/', 1) AS key FROM pages)"
 
 
-@query(f"WITH {LINKS}, k AS (SELECT page_id AS src, unnest([trim(target, '/'), split_part(trim(target, '/'), '/', 1)]) AS key FROM h) SELECT DISTINCT src, key AS dst FROM k JOIN f USING (key) WHERE key <> ''")
+@query(f"WITH {LINKS}, k AS (SELECT page_id AS src, target, unnest([trim(target, '/'), split_part(trim(target, '/'), '/', 1)]) AS key, unnest([0, 1]) AS rank FROM h), m AS (SELECT src, target, arg_min(key, rank) AS dst FROM k JOIN f USING (key) WHERE key <> '' GROUP BY ALL) SELECT DISTINCT src, dst FROM m")
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to the sections of pages that their links name."""
     p = table(spark, sf_dir, "pages")

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tesserae.functions import rules
 from tesserae.functions import text as t
 from tesserae.operators import graph, verdict
-from tesserae.plans.frames import FAN_SQL, FUNCTIONS_SQL, calls, calls_sql, functions
-from tesserae.plans.graph_queries import ROOTS_SQL, roots_of
+from tesserae.plans.frames import CALLS_SQL, FAN_SQL, FUNCTIONS_SQL, calls, functions
+from tesserae.plans.graph_queries import ROOTS_SQL, roots
 from tesserae.plans.registry import query, table
 
 STATE_SQL = "CASE WHEN dead_score >= 0.8 THEN 'DefinitelyDead' WHEN dead_score >= 0.8 * 0.8::DOUBLE THEN 'ProbablyDead' WHEN dead_score <= 0.15 THEN 'DefinitelyAlive' WHEN dead_score <= 1.5::DOUBLE * 0.15 THEN 'ProbablyAlive' ELSE 'Unknown' END"
-VERDICT_SQL = f"""{calls_sql(42)}, {ROOTS_SQL}, {FAN_SQL}, {FUNCTIONS_SQL}, r0 AS (SELECT node FROM roots WHERE node % 10 < 3),
+VERDICT_SQL = f"""{CALLS_SQL}, {ROOTS_SQL}, {FAN_SQL}, r0 AS (SELECT node FROM roots),
 reached AS (SELECT node FROM r0 UNION SELECT dst FROM reached JOIN calls ON src = node),
 f AS (SELECT functions.*, coalesce(fan_in, 0)::BIGINT AS fan_in, coalesce(fan_out, 0)::BIGINT AS fan_out, node IN (SELECT node FROM reached) AS reachable, node % 13 = 0 AS dynamic, CASE WHEN node % 2 = 0 THEN (node % 11) / 10.0::DOUBLE END AS ml_dead FROM functions LEFT JOIN fan USING (node)),
 s AS (SELECT *, greatest(least(least(greatest(((CASE WHEN fan_in = 0 THEN 0.4::DOUBLE ELSE -0.4::DOUBLE * least(fan_in / 10.0::DOUBLE, 1) END + CASE WHEN reachable THEN -0.3::DOUBLE ELSE 0.3::DOUBLE END + CASE WHEN is_public THEN -0.2::DOUBLE ELSE 0.2::DOUBLE END) / 0.9::DOUBLE + 1) / 2, 0), 1)
@@ -24,8 +24,8 @@ v AS (SELECT *, CASE WHEN dynamic OR n_critical > 0 THEN 'DoNotDelete' WHEN stat
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = calls(spark, sf_dir, 42)
-    reached = graph.reach(e, roots_of(e).filter("node % 10 < 3")).withColumn("hit", F.lit(True))
+    e = calls(spark, sf_dir)
+    reached = graph.reach(e, roots(spark, sf_dir)).withColumn("hit", F.lit(True))
     f = functions(spark, sf_dir).join(graph.fan(e), "node", "left").join(reached, "node", "left")
     return f.select(
         "node", "name", "file", "is_public", "complexity", "doc", "trait_impl", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("fan_out", F.lit(0)).alias("fan_out"), F.coalesce("hit", F.lit(False)).alias("reachable"),
@@ -48,10 +48,9 @@ def deletion_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(spark, sf_dir).select("node", "recommendation", F.col("risk.overall").alias("overall_risk"), verdict.effort(F.col("complexity") * 3, F.col("complexity")).alias("effort"))
 
 
-@query(f"""WITH RECURSIVE {VERDICT_SQL} SELECT node, row_number() OVER (ORDER BY round(dead_score, 6) DESC, node)::INTEGER AS place FROM v WHERE state IN ('DefinitelyDead', 'ProbablyDead') QUALIFY place <= 200""")
+@query(f"""WITH RECURSIVE {VERDICT_SQL} SELECT node, row_number() OVER (ORDER BY round(dead_score, 6) DESC, node)::BIGINT AS place FROM v WHERE state IN ('DefinitelyDead', 'ProbablyDead')""")
 def removal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 places, as the SQL has them; the operator places every dead function."""
-    return verdict.removal_order(verdicts(spark, sf_dir)).filter("place <= 200").withColumn("place", F.col("place").cast("int"))
+    return verdict.removal_order(verdicts(spark, sf_dir)).withColumn("place", F.col("place").cast("bigint"))
 
 
 @query(f"""WITH RECURSIVE {VERDICT_SQL} SELECT count(*)::BIGINT AS total, sum((state = 'DefinitelyDead')::BIGINT)::BIGINT AS definitely_dead, sum((state = 'ProbablyDead')::BIGINT)::BIGINT AS probably_dead, sum((state = 'Unknown')::BIGINT)::BIGINT AS unknown,
@@ -69,7 +68,7 @@ def ci_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT v.node, round(complexity + coalesce(t, 0), 6) AS impact FROM v LEFT JOIN tail USING (node) WHERE state IN ('DefinitelyDead', 'ProbablyDead')""")
 def function_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     dead = verdicts(spark, sf_dir).filter(F.col("state").isin("DefinitelyDead", "ProbablyDead")).select("node")
-    return verdict.impact(dead, calls(spark, sf_dir, 42), functions(spark, sf_dir).select("node", "complexity")).withColumn("impact", F.round("impact", 6))
+    return verdict.impact(dead, calls(spark, sf_dir), functions(spark, sf_dir).select("node", "complexity")).withColumn("impact", F.round("impact", 6))
 
 
 @query(f"""WITH {FUNCTIONS_SQL} SELECT node, CASE WHEN file LIKE '%\\_test.rs' ESCAPE '\\' THEN 'Protected' WHEN trait_impl IS NOT NULL THEN 'Protected' WHEN is_public THEN 'LikelyAlive' WHEN starts_with(name, 'get_') THEN 'LikelyAlive' ELSE 'Candidate' END AS level FROM functions""")

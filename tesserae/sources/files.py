@@ -44,7 +44,10 @@ def commits(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.option("lineSep", "\n@").text(path)
     head = F.split(F.regexp_replace("value", "^@", ""), "\n")
-    rows = raw.select(F.split(F.element_at(head, 1), "\\|").alias("h"), F.explode(F.slice(head, 2, F.size(head))).alias("line")).filter("line like '%\t%\t%'")
+    # the author's name is what stands between the first and the last bar
+    first = F.element_at(head, 1)
+    h = F.array(F.substring_index(first, "|", 1), F.regexp_extract(first, "^[^|]*\\|(.*)\\|[^|]*$", 1), F.substring_index(first, "|", -1))
+    rows = raw.select(h.alias("h"), F.explode(F.slice(head, 2, F.size(head))).alias("line")).filter("line like '%\t%\t%'")
     cells = F.split("line", "\t")
     number = lambda c: F.coalesce(c.try_cast("long"), F.lit(0))
     at = F.element_at("h", -1).try_cast("long")
@@ -56,8 +59,16 @@ EXAMPLE = "function_name string, full_path string, file string, language string,
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
-    """A ledger written as one JSON array or as lines; missing fields are null, a missing outcome is Pending."""
-    df = spark.read.schema(LEDGER).option("multiLine", True).json(path)
+    """A ledger written as JSON lines or as a JSON array, whose objects may each take several lines; missing fields are null, a missing outcome is Pending.
+
+    Lines are read line by line, so files of any size can be split; only files that start with [ are read as a whole.
+    """
+    lines = spark.read.text(path).withColumn("of", F.input_file_name())
+    arrays = [r[0] for r in lines.filter(F.ltrim("value").startswith("[")).select("of").distinct().toLocalIterator()]
+    whole = spark.read.schema(LEDGER).option("multiLine", True).json(arrays) if arrays else None
+    rows = lines.filter(~F.col("of").isin(*arrays)) if arrays else lines
+    df = rows.filter(F.trim("value") != "").select(F.from_json("value", LEDGER).alias("r")).select("r.*")
+    df = df if whole is None else df.unionAll(whole)
     return df.withColumn("outcome", F.coalesce("outcome", F.lit("Pending")))
 
 
