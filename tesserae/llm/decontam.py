@@ -9,8 +9,8 @@ by insertions or deletions, or its parts stand apart). Of items with fewer than
 The masks 11 and 101 hash two equal words that are neighbours or have one word between them. If k of an item's n words
 are equal, they have k - 1 gaps, of which at most (n - k) / 2 are wider than the masks. So a leak on a diagonal has at
 least k - 1 - (n - k) / 2 hits, and the item's commonest windows, one fewer than that, need no search: one of the others
-hits. A run of RUN words holds two neighbouring places 2j and 2j + 1 of mask 11, of which the rarer is searched
-always. For shares so small that an item may have no hit (0.4 and less), single words are the seeds, by the same rule: of
+hits. If all windows of some RUN neighbouring words are among those, the rarest of them is searched nevertheless,
+so that no run is missed. For shares so small that an item may have no hit (0.4 and less), single words are the seeds, by the same rule: of
 the rarest n - k + 1 words of the item at least one is equal; items of one word have it as their seed. Either way no
 leak is without a candidate. At each, the words of the whole item are compared with the document's. How common a word is is
 counted in the benchmark; it bears on speed only.
@@ -99,16 +99,17 @@ def _searched(items: DataFrame, share: float, masks: tuple[str, ...], small) ->
     def of(m: int, mask: str, places: Column) -> Column:
         return F.transform(places, lambda p: window(m, mask, p))
 
-    n, k, width = F.size("h"), needed(F.size("h"), share), len(masks[0])
+    n, k = F.size("h"), needed(F.size("h"), share)
     none = F.array().cast("array<int>")
     of_one = F.when(n == 1, _places("h", "1")).otherwise(none)
     windows = F.concat(*[of(m, mask, of_one if mask == "1" and masks != SINGLE else _places("h", mask)) for m, mask in enumerate(masks)])
     spare = F.greatest(k - 1 - (F.lit(0) if masks == SINGLE else F.floor((n - k) / 2) + 1), F.lit(0))
-    kept = F.slice(F.sort_array(windows), (spare + 1).cast("int"), F.greatest(F.size(windows), F.lit(1)))
-    pairs = F.when(n >= width, F.sequence(F.lit(0), F.floor((n - width) / 2).cast("int"))).otherwise(none)
-    first = lambda p: window(0, masks[0], p)
-    rarer = F.transform(pairs, lambda j: F.when(2 * j + width < n, F.greatest(first(2 * j), first(2 * j + 1))).otherwise(first(2 * j)))
-    all_kept = F.array_union(kept, rarer)
+    ordered = F.sort_array(windows)
+    kept = F.slice(ordered, (spare + 1).cast("int"), F.greatest(F.size(windows), F.lit(1)))
+    # of a run's windows the rarest, where all of them are among those left out
+    of_run = lambda p: F.greatest(*[window(m, mask, p + i) for m, mask in enumerate(masks) if mask != "1" or masks == SINGLE for i in range(RUN - len(mask) + 1)])
+    runs = F.transform(F.when(n >= RUN, F.sequence(F.lit(0), n - RUN)).otherwise(none), of_run)
+    all_kept = F.array_union(kept, F.filter(runs, lambda w: w < F.get(ordered, spare.cast("int"))))
     return items.join(small(counts), F.col("item") == F.col("i")).select("item", F.explode(all_kept).alias("s")).select("item", "s.item_pos", "s.item_seed")
 
 
