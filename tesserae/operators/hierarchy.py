@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators import graph
+from tesserae.operators.iterate import written
 
 
 def inheritance_depth(extends: DataFrame) -> DataFrame:
@@ -20,6 +21,31 @@ def inheritance_depth(extends: DataFrame) -> DataFrame:
     return graph.depth(down, tops)
 
 
+def tops(extends: DataFrame) -> DataFrame:
+    """node: the types that others extend and that extend none."""
+    return extends.select(F.col("dst").alias("node")).distinct().join(extends.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+
+
+def chains(extends: DataFrame, most: int = 64) -> DataFrame:
+    """node, chain (array, from the first supertype up to the top), depth: each type with a supertype, up its first supertypes.
+
+    extends as for inheritance_depth. Chains double in length each round: a chain's end is followed by that end's chain. One that
+    meets a type again (a cycle), or that reaches `most`, ends there.
+    """
+    first = F.min(F.struct("ord", "dst") if "ord" in extends.columns else F.struct("dst")).alias("f")
+    cur = written(extends.groupBy("src").agg(first).select(F.col("src").alias("node"), F.array("f.dst").alias("chain")), "chains")
+    size = 1
+    while size < most:
+        tail = cur.select(F.col("node").alias("end"), F.col("chain").alias("tail"))
+        nxt = cur.join(tail, F.element_at("chain", -1) == F.col("end"), "left").select("node", F.col("chain").alias("was"), F.coalesce("tail", F.array().cast(cur.schema["chain"].dataType)).alias("tail"))
+        nxt = nxt.select("node", F.slice(F.array_distinct(F.concat("was", "tail")), 1, most).alias("chain"), "was")
+        grown = written(nxt.withColumn("more", F.size("chain") > F.size("was")).drop("was"), "chains")
+        cur, size = grown.select("node", "chain"), size * 2
+        if not grown.filter("more").head(1):
+            break
+    return cur.select("node", "chain", F.size("chain").alias("depth"))
+
+
 def leaves(extends: DataFrame) -> DataFrame:
     return extends.select(F.col("src").alias("node")).distinct().join(extends.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
 

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Strategy:
-    """on: (column of calls, column of definitions) pairs that must be equal."""
+    """on: (column of calls, column of definitions) pairs that must be equal; each: the column of calls that is an array, any element of which may be."""
 
     method: str
     confidence: float
     on: tuple[tuple[str, str], ...]
     stop_on_ambiguous: bool = False
+    each: str | None = None
 
 
 #: From the surest to the least sure.
@@ -31,6 +32,16 @@ DEFAULT = (
     Strategy("global", 0.70, (("name", "name"),)),
 )
 
+#: For calls that have a qualifier (its last part, whether a type, a module's name in the file or a variable of known type) and the modules whose names a file takes in as a whole.
+MEMBERS = (
+    Strategy("self", 0.95, (("self_type", "container"), ("name", "name"))),
+    Strategy("qualified", 0.95, (("qualifier", "container"), ("name", "name"))),
+    Strategy("module_alias", 0.90, (("qualifier_module", "module"), ("name", "name"))),
+    Strategy("receiver", 0.85, (("receiver_type", "container"), ("name", "name"))),
+    Strategy("wildcard", 0.85, (("wildcards", "module"), ("name", "name")), each="wildcards"),
+)
+FULL = (DEFAULT[0], *MEMBERS[:4], *DEFAULT[1:3], MEMBERS[4], DEFAULT[3])
+
 
 def resolved(calls: DataFrame, definitions: DataFrame, strategies: tuple[Strategy, ...] = DEFAULT, key: str = "call") -> DataFrame:
     """call, target, method, confidence, status (resolved, ambiguous or unresolved) for each row of calls.
@@ -49,7 +60,11 @@ def resolved(calls: DataFrame, definitions: DataFrame, strategies: tuple[Strateg
         decides = (F.col("n") == 1) | F.lit(s.stop_on_ambiguous)
         # what doesn't decide comes after all that do
         rank_of, sure = F.when(decides, rank).otherwise(rank + len(strategies)), F.when(decides, s.confidence).otherwise(0.40)
-        part = calls.join(found, cond).select(key, F.struct(rank_of.alias("rank"), F.lit(s.method).alias("method"), sure.alias("confidence"), "n", "target").alias("c"))
+        asked = calls.withColumn(s.each, F.explode(s.each)) if s.each else calls
+        met = asked.join(found, cond)
+        if s.each:  # what several elements find together
+            met = met.groupBy(key).agg(F.sum("n").alias("n"), F.min("target").alias("target"))
+        part = met.select(key, F.struct(rank_of.alias("rank"), F.lit(s.method).alias("method"), sure.alias("confidence"), "n", "target").alias("c"))
         out = part if out is None else out.unionAll(part)
     first = out.groupBy(key).agg(F.min("c").alias("c"))
     one = F.col("c.n") == 1

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.operators.iterate import ship
+
 FUNCTION = (
     "struct<name:string,container:string,line:bigint,end_line:bigint,is_public:boolean,is_async:boolean,is_test:boolean,trait_impl:string,params:array<string>,returns:array<string>,complexity:double,"
     "doc:string,decorators:array<string>,calls:array<struct<kind:string,qualifier:string,name:string,line:bigint>>,body:string>"
@@ -70,7 +72,7 @@ def calls_in(body: str, first_line: int) -> list[dict]:
     out = []
     for m in CALL.finditer(body):
         name, q, op = m["name"], m["q"], m["op"]
-        if name in NOT_CALLS or (q is None and re.search(r"\b(?:fn|func|function|def|class|new)\s+$", body[max(0, m.start() - 12) : m.start()])):
+        if (name in NOT_CALLS and (q is None or name != "new")) or (q is None and re.search(r"\b(?:fn|func|function|def|class|new)\s+$", body[max(0, m.start() - 12) : m.start()])):
             continue
         kind = "Bare" if q is None else "SelfMethod" if q in ("self", "this", "cls", "$this") else "Qualified" if op == "::" or q[:1].isupper() else "Chained" if re.search(r"[.\-]", q) else "OnReceiver"
         out.append({"kind": kind, "qualifier": q, "name": name, "line": first_line + body.count("\n", 0, m.start())})
@@ -105,7 +107,7 @@ def parse_generic(path: str, language: str, source: str) -> dict:
     for m in re.finditer(g.function, text):
         groups = m.groupdict()
         name = groups.get("name") or groups.get("name2") or groups.get("name3")
-        if not name or name in NOT_CALLS or (groups.get("ret") or "").strip() in ("new", "return", "else", "throw", "await"):
+        if not name or (name in NOT_CALLS and not (name == "new" and language in ("rust", "go", "php"))) or (groups.get("ret") or "").strip() in ("new", "return", "else", "throw", "await"):
             continue
         start = m.start() + len(m[0]) - len(m[0].lstrip())
         end = closing(text, m.end()) if text[m.end() : m.end() + 1] == "{" else (text.find("\n", m.end()) + 1 or len(text))
@@ -253,6 +255,7 @@ def parsed(files: DataFrame) -> DataFrame:
                 rows = [parse(p, lang, s or "") for p, lang, s in zip(*(c.to_pylist() for c in b.slice(lo, 64).columns), strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+    ship(files.sparkSession)
     return files.select("path", "language", "source").mapInArrow(run, PARSED)
 
 

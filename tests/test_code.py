@@ -93,6 +93,47 @@ def test_calls_across_files(spark):
     assert [(r.src, r.dst, r.method) for r in e.collect()] == [("a.py::top", "util.py::go", "import")]
 
 
+PROJECT = {
+    "src/store.rs": "pub struct Store;\nimpl Store { pub fn new() -> Store { Store }\n fn load(&self) { self.open(); }\n fn open(&self) { } }\n",
+    "src/cache.rs": "pub struct Cache;\nimpl Cache { fn load(&self) { } }\nfn warm(c: &Cache) { c.load(); }\n",
+    "src/main.rs": "use crate::store::Store;\nuse crate::tools::*;\nuse crate::names;\nfn main() { let s = Store::new(); s.load(); tidy(); names::shout(); missing(); }\n",
+    "src/tools.rs": "fn tidy() { }\nfn shout() { }\n",
+    "src/other.rs": "fn tidy() { }\n",
+    "src/names.rs": "fn shout() { }\n",
+}
+
+
+def test_members_are_resolved(spark):
+    df = spark.createDataFrame([(p, "rust", s) for p, s in PROJECT.items()], "path string, language string, source string")
+    _, edges = analyze.facts(df)
+    got = {(r.src.replace("src/", ""), r.dst.replace("src/", ""), r.method) for r in edges.collect()}
+    assert got == {
+        ("main.rs::main", "store.rs::Store::new", "qualified"), ("main.rs::main", "store.rs::Store::load", "receiver"), ("main.rs::main", "tools.rs::tidy", "wildcard"), ("main.rs::main", "names.rs::shout", "module_alias"),
+        ("store.rs::Store::load", "store.rs::Store::open", "scope"), ("cache.rs::warm", "cache.rs::Cache::load", "receiver"),
+    }
+
+
+def test_overloads_dynamic_references_and_frameworks_count(spark):
+    rows = [
+        ("src/A.java", "java", "class A { private void f(int x) { } private void f(String s) { } private void g() { } private void h() { } }\n"),
+        ("src/b.py", "python", "def _called():\n    pass\n\ndef _other():\n    return getattr(x, '_called')\n\n@app.route('/')\ndef _page():\n    return _made()\n\ndef _made():\n    return 1\n"),
+    ]
+    v = {r.node.rpartition("::")[2]: r for r in analyze.verdicts_of(spark.createDataFrame(rows, "path string, language string, source string")).collect()}
+    assert {"f@1", "f@2", "g", "h", "_called", "_other", "_page", "_made"} == set(v)
+    assert v["_called"].state == "DefinitelyAlive" and v["_called"].recommendation == "DoNotDelete"
+    assert v["_made"].reachable and not v["_other"].reachable
+
+
+def test_import_candidates(spark):
+    files = ["web/src/util/a.ts", "web/src/lib/index.js", "web/b.jsx", "web/src/c.tsx", "web/src/util/c.ts"]
+    asked = [("web/src/util/x.ts", "./a"), ("web/src/util/x.ts", "../lib"), ("web/src/util/x.ts", "'@/c'"), ("web/src/util/x.ts", "~/b"), ("web/src/util/x.ts", "react"), ("web/src/util/x.ts", "./nothing"), ("x.ts", "../../y")]
+    from tesserae.operators import resolve
+
+    df = spark.createDataFrame(asked, "src string, target string")
+    got = {(r.src, r.dst) for r in resolve.relative_imports(df, spark.createDataFrame([(f,) for f in files], "file string")).collect()}
+    assert got == {("web/src/util/x.ts", f) for f in ("web/src/util/a.ts", "web/src/lib/index.js", "web/src/util/c.ts", "web/b.jsx")}
+
+
 def test_scan(spark, tmp_path):
     for name, text in {"src/a.rs": "fn a() {}", "src/b.txt": "no", "node_modules/c.js": "x", "src/d.min.js": "x", "src/e.py": "", "src/f.go": "y" * 50, "src/skipme/g.py": "z"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
@@ -107,6 +148,10 @@ def test_records(spark, tmp_path):
     assert got == [("img.png", "h1", "Ann", 0, 0), ("src/a.rs", "h1", "Ann", 3, 1), ("src/a.rs", "h2", "Bob, J", 1, 0)]
     (tmp_path / "ledger.json").write_text('[{"id": "a", "confidence": 0.5},\n {"id": "b", "outcome": "Kept"}]')
     assert sorted((r.id, r.outcome) for r in files.ledger(spark, str(tmp_path / "ledger.json")).collect()) == [("a", "Pending"), ("b", "Kept")]
+    (tmp_path / "lines.json").write_text('{"id": "a"}\n\n{"id": "b", "outcome": "Removed"}\n{"id": "c"}\n')
+    assert sorted((r.id, r.outcome) for r in files.ledger(spark, str(tmp_path / "lines.json")).collect()) == [("a", "Pending"), ("b", "Removed"), ("c", "Pending")]
+    (tmp_path / "log2").write_text("@h3|Eve | Sons|1700000000\n\n3\t1\tsrc/a.rs\n")
+    assert [r.author for r in files.commits(spark, str(tmp_path / "log2")).collect()] == ["Eve | Sons"]
     (tmp_path / "repo1.jsonl").write_text('{"full_path": "x", "label": "Dead"}\n{"full_path": "y", "repository_id": "r"}\n')
     assert sorted((r.full_path, r.repository_id, r.label, r.confidence) for r in files.examples(spark, str(tmp_path / "repo1.jsonl")).collect()) == [("x", "repo1", "Dead", 1.0), ("y", "r", "Unknown", 1.0)]
 
