@@ -35,7 +35,7 @@ LEAST_SCORE, LETTERS_LEAST, LEAST_FIT = 0.5, 40, 0.45
 #: A word fits a language if its log-probability a sign isn't below FIT times the language's mean.
 FIT = 2.0
 #: Words whose scores a worker keeps.
-CACHE = 250_000
+CACHE = 150_000
 CELLS = 150_000
 
 
