@@ -31,7 +31,7 @@ LATIN_LETTERS, LATIN_NUMBERS, LATIN_WS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³
 LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN_LETTERS}]+| ?[{LATIN_NUMBERS}]+| ?[^{LATIN_WS}{LATIN_LETTERS}{LATIN_NUMBERS}]+|[{LATIN_WS}]+(?![^{LATIN_WS}])|[{LATIN_WS}]+")
 BEYOND = re.compile("[^\x00-\u024f]")
 #: Chunks whose encoding a worker keeps (about 200 bytes each) in each of two tables: a full one becomes the old one.
-CACHE = 300_000
+CACHE = 200_000
 ARCS = 1_000_000
 #: Bytes by which the longest token at a place is looked up.
 HEAD = 6
