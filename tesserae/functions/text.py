@@ -186,11 +186,15 @@ def chunked(s: Column, tokens: int) -> Column:
     return F.when(s == "", F.array(F.lit(""))).otherwise(cut)
 
 
-def word_runs(s: Column, width: int) -> Column:
-    """The distinct runs of `width` lower-case words (a-z, 0-9) of a text, joined by blanks; none for null or shorter texts."""
-    w = F.array_remove(F.split(F.lower(F.coalesce(s, F.lit(""))), "[^a-z0-9]+"), "")
-    places = F.when(F.size(w) >= width, F.sequence(F.lit(1), F.size(w) - (width - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice(w, i, width), " ")))
+def plain_words(s: Column) -> Column:
+    """The lower-case words (a-z, 0-9) of a text in order; none for null."""
+    return F.array_remove(F.split(F.lower(F.coalesce(s, F.lit(""))), "[^a-z0-9]+"), "")
+
+
+def word_runs(words: str, width: int) -> Column:
+    """The runs of `width` words of a column of words, joined by blanks. A column, not an expression: each run reads it."""
+    places = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - (width - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.array_join(F.slice(words, i, width), " "))
 
 
 def stable_id(prefix: str, digits: int, *parts: Column) -> Column:

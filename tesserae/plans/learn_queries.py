@@ -109,8 +109,8 @@ SELECT test, n::BIGINT AS n_shared, n > 0 AS leaked FROM x""")
 def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five tests between the splits, and the three-word shingles that documents share with the benchmark."""
     d = table(spark, sf_dir, "documents")
-    every = d.select(F.explode(t.word_runs(F.col("text"), 3)).alias("benchmark")).distinct()
-    asked = table(spark, sf_dir, "benchmark").select(F.explode(t.word_runs(F.col("text"), 3)).alias("benchmark")).distinct()
+    runs = lambda df: df.select(F.explode(F.array(t.plain_words(F.col("text")))).alias("w")).select(F.explode(t.word_runs("w", 3)).alias("benchmark")).distinct()
+    every, asked = runs(d), runs(table(spark, sf_dir, "benchmark"))
     d = d.join(learn.split_groups(d, "source"), "source")
     symbol = F.substring_index("text", " ", 1)
     generated = F.when(F.col("text").contains("All rights reserved"), F.md5("text"))
