@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions import lines as li
 from tesserae.functions import text as t
 from tesserae.operators.iterate import ship
 
@@ -65,6 +66,19 @@ def packed(df: DataFrame, group: str, order: str, size: str, most: int) -> DataF
     return df.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, f"{kinds}, chunk bigint")
 
 
+def layers(f: DataFrame, importance: Column, k: int = 3) -> DataFrame:
+    """layer, n, top, description, colour for functions (layer, name, node): size and the k names of most importance, ties to the smaller node.
+
+    Ranks are limited to k in each task before rows of a layer meet, so that a large layer is no burden.
+    """
+    named = f.select("layer", "name", "node", importance.alias("i"))
+    rank = F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("i"), "node"))
+    best = named.withColumn("r", rank).filter(F.col("r") <= k)
+    top = best.groupBy("layer").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ", ").alias("top"))
+    sizes = named.groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(top, "layer").select("layer", "n", "top", li.layer_description(F.col("layer")).alias("description"), li.layer_colour(F.col("layer")).alias("colour"))
+
+
 def histogram(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
     """bucket, n: rows between successive edges, half open; 0 is below the first."""
     b = F.lit(0)

@@ -65,6 +65,27 @@ def upsert(ledger: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+def resolve_first(ledger: DataFrame, name: str, removed: bool, why: str | None, at: Column, order: str = "id") -> DataFrame:
+    """The ledger (id, name, outcome, notes, outcome_date, ..) after one decision on the first pending entry by `order` whose name holds `name`.
+
+    Removed, `why` is the commit; else the entry is kept as a false positive, for the reason `why`. Without such an entry
+    nothing changes. One row is looked up and sent to all; ties in `order` go to the smaller id, and rows of a repeated id change together.
+    """
+    first = ledger.filter((F.col("outcome") == "Pending") & F.col("name").contains(name)).orderBy(order, "id").limit(1).select("id", F.lit(True).alias("__hit"))
+    hit = F.coalesce("__hit", F.lit(False))
+    note = "Removed by developer" if removed else f"False positive: {why or ''}"
+    out = ledger.join(F.broadcast(first), "id", "left")
+    changed = {"outcome": F.lit("Removed" if removed else "Kept"), "notes": F.lit(note), "outcome_date": at, **({"removed_commit": F.lit(why)} if "removed_commit" in ledger.columns and removed else {})}
+    return out.withColumns({c: F.when(hit, x).otherwise(F.col(c)) for c, x in changed.items()}).select(*[f"`{c}`" for c in ledger.columns])
+
+
+def examples(ledger: DataFrame) -> DataFrame:
+    """id, label, reason of the decisions that teach something: removed entries were dead, those kept as a false positive are alive."""
+    label = F.when(F.col("outcome") == "Removed", "Dead").when((F.col("outcome") == "Kept") & F.col("notes").contains("false positive"), "Alive")
+    reason = F.when(label == "Dead", "Removed by developer via dashboard").otherwise("Kept as false positive via dashboard")
+    return ledger.select("id", label.alias("label"), reason.alias("reason"), "confidence").filter("label is not null")
+
+
 def stats(ledger: DataFrame) -> DataFrame:
     """outcome, n, mean_confidence."""
     return ledger.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"))
