@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as t
-from tesserae.operators import analyze, dedup, graph, report, verdict
+from tesserae.operators import analyze, dedup, graph, report, state, verdict
 from tesserae.operators.iterate import ship
 from tesserae.sources import code, files
 
@@ -31,10 +32,26 @@ def duplicates(src: DataFrame, threshold: float) -> DataFrame:
     return dedup.facts(members).orderBy(F.desc("priority"), "cluster")
 
 
+def decide(spark: SparkSession, ledger: str, name: str | None, removed: bool, why: str | None, out: str | None) -> int:
+    """Writes the ledger with one decision to another folder, as it can't be read and replaced at once; 1 if nothing is pending under the name."""
+    if not name or not out:
+        print("remove and keep need --name and --out")
+        return 2
+    rows = files.ledger(spark, ledger)
+    at = F.lit(int(time.time())).cast("long")
+    left = rows.withColumnRenamed("function_name", "name")
+    found = not left.filter((F.col("outcome") == "Pending") & F.col("name").contains(name)).isEmpty()
+    report.write_jsonl(state.resolve_first(left, name, removed, why, at).withColumnRenamed("name", "function_name"), out)
+    print(f"{'marked' if found else 'no pending function holds'} '{name}'")
+    return int(not found)
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tesserae", description=__doc__)
-    p.add_argument("command", choices=["analyze", "list", "deadcode", "dedup", "important", "graph", "report", "stats", "check"])
-    p.add_argument("root")
+    p.add_argument("command", choices=["analyze", "list", "deadcode", "dedup", "important", "graph", "report", "stats", "check", "remove", "keep"])
+    p.add_argument("root", help="the source tree; for remove and keep the ledger")
+    p.add_argument("--name", help="remove, keep: a part of the function's name; the first pending entry by id that holds it is decided")
+    p.add_argument("--why", help="remove: the commit; keep: the reason")
     p.add_argument("--threshold", type=float, help="dead from this score on (0.80); for dedup, similar from this on (0.80)")
     p.add_argument("--max-dead", type=int, default=0)
     p.add_argument("--max-ratio", type=float, default=1.0)
@@ -45,6 +62,8 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("tesserae").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ship(spark)
+    if a.command in ("remove", "keep"):
+        return decide(spark, a.root, a.name, a.command == "remove", a.why, a.out)
     src = files.scan(spark, a.root)
     if a.command == "list":
         out = code.functions(code.parsed(src)).select("full_path", "language", "line", "is_public", "complexity").orderBy("full_path")

@@ -67,7 +67,7 @@ def facts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     f = f.withColumn("full_path", F.when(F.col("times") > 1, F.concat_ws("@", "full_path", F.col("nth").cast("string"))).otherwise(F.col("full_path"))).drop("times", "nth")
     e = written(call_edges(f, code.imports(p)), "calls")
     c = F.col
-    by_framework = frameworks.is_root(c("language"), c("file"), c("name"), F.concat_ws("\n", F.array_join("decorators", "\n"), "doc"))
+    by_framework = frameworks.is_root(c("language"), c("file"), c("name")) | frameworks.is_marked(c("language"), F.array_join("decorators", "\n"))
     f = f.withColumn("root_kind", F.coalesce(rules.root_kind(c("is_test"), c("name"), c("file"), c("is_public"), c("doc")), F.when(by_framework, "framework")))
     roots = f.filter("root_kind is not null").select(c("full_path").alias("node"))
     reached = graph.depth(e, roots).select(c("node").alias("n"), c("depth"))

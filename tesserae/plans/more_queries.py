@@ -88,8 +88,26 @@ def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(learn.ablation(written(rows, "examples"), ["n", "odd"], steps=8), "accuracy", "precision", "recall", "fpr", "f1")
 
 
-@query(f"WITH {FUNCTIONS_SQL} SELECT node, false AS framework_root FROM functions")
+# What paths and names take turns in: every pattern of every framework, under its own language and others.
+_KINDS = ("roots", "decorators", "annotations", "registrations", "generated", "dynamic")
+_PATTERNS = [(f.language, kind, p) for f in frameworks.FRAMEWORKS for kind in _KINDS for p in getattr(f, kind)]
+_SHOWN = [p for _, _, p in _PATTERNS]
+_SPOKEN = sorted({f.language for f in frameworks.FRAMEWORKS})
+_CALLED = [*frameworks.CALLBACKS[:5], "_closed", *[p for _, kind, p in _PATTERNS if kind == "generated"]]
+
+
+def _listed(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+@query(f"""WITH p(language, kind, pattern) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _PATTERNS)}),
+f AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 2 = 0 THEN ({_listed([a for a, _, _ in _PATTERNS])})[p_partkey % {len(_PATTERNS)} + 1] ELSE ({_listed(_SPOKEN)})[p_partkey % {len(_SPOKEN)} + 1] END AS language, 'src/' || ({_listed(_SHOWN)})[p_partkey % {len(_PATTERNS)} + 1] || '/x' AS file, ({_listed(_CALLED)})[p_partkey % {len(_CALLED)} + 1] AS name FROM part)
+SELECT node, EXISTS (SELECT 1 FROM p WHERE p.language = f.language AND ((kind NOT IN ('generated', 'dynamic') AND contains(file, pattern)) OR (kind = 'generated' AND contains(name, pattern)))) AS framework_root, EXISTS (SELECT 1 FROM p WHERE p.language = f.language AND kind IN ('roots', 'decorators') AND contains(file, pattern)) AS marked,
+  EXISTS (SELECT 1 FROM p WHERE p.language = f.language AND kind = 'dynamic' AND contains(file, pattern)) AS dynamic, list_contains({_listed(frameworks.CALLBACKS)}, name) AS callback FROM f""")
 def framework_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """None of the made-up Rust functions is a framework's; tests/test_operators.py has some that are."""
-    f = functions(spark, sf_dir)
-    return f.select("node", frameworks.is_root(F.lit("rust"), F.col("file"), F.col("name"), F.col("doc")).alias("framework_root"))
+    """Parts as functions whose paths and names hold the frameworks' patterns in turn, half of them in the pattern's own language."""
+    node, c = F.col("p_partkey"), F.col
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (node % len(values) + 1).cast("int"))
+    f = table(spark, sf_dir, "part").select(node.alias("node"), F.when(node % 2 == 0, pick([a for a, _, _ in _PATTERNS])).otherwise(pick(_SPOKEN)).alias("language"), F.concat(F.lit("src/"), pick(_SHOWN), F.lit("/x")).alias("file"), pick(_CALLED).alias("name"))
+    root, marked, dynamic = frameworks.is_root(c("language"), c("file"), c("name")), frameworks.is_marked(c("language"), c("file")), frameworks.is_dynamic(c("language"), c("file"))
+    return f.select("node", root.alias("framework_root"), marked.alias("marked"), dynamic.alias("dynamic"), frameworks.is_callback(c("name")).alias("callback"))

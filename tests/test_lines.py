@@ -70,3 +70,15 @@ def test_one_decision(spark):
     assert [(r.id, r.label) for r in state.examples(kept).collect()] == [(2, "Alive")]
     assert sorted(map(tuple, state.resolve_first(ledger, "none", True, None, at).collect()), key=repr) == sorted(map(tuple, ledger.collect()), key=repr)
     assert state.resolve_first(ledger.limit(0), "ab", True, None, at).count() == 0
+
+
+def test_commands_decide(spark, tmp_path, capsys):
+    from tesserae import __main__ as commands
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "l.json").write_text('{"id": "1", "function_name": "go"}\n{"id": "2", "function_name": "gone", "outcome": "Removed"}\n')
+    read = lambda n: {r.id: (r.function_name, r.outcome, r.notes, r.removed_commit) for r in commands.files.ledger(spark, str(tmp_path / n)).collect()}
+    assert commands.decide(spark, str(tmp_path / "in"), "go", True, "c1", str(tmp_path / "a")) == 0
+    assert read("a") == {"1": ("go", "Removed", "Removed by developer", "c1"), "2": ("gone", "Removed", None, None)}
+    assert commands.decide(spark, str(tmp_path / "a"), "go", False, "x", str(tmp_path / "b")) == 1 and read("b") == read("a")
+    assert commands.decide(spark, str(tmp_path / "a"), None, False, "x", None) == 2

@@ -218,8 +218,8 @@ def test_chunks_hold_the_whole_text(spark):
 
 def test_frameworks_and_references(spark):
     lit = F.lit
-    got = one(spark, frameworks.is_root(lit("python"), lit("a/x.py"), lit("f"), lit("@app.route('/')")), frameworks.is_root(lit("python"), lit("a/views.py"), lit("f"), lit(None).cast("string")), frameworks.is_root(lit("rust"), lit("a/views.py"), lit("f"), lit(None).cast("string")), frameworks.is_dynamic(lit("go"), lit("http.HandleFunc(x)")))
-    assert got == (True, True, False, True)
+    got = one(spark, frameworks.is_marked(lit("python"), lit("@app.route('/')")), frameworks.is_root(lit("python"), lit("a/x.py"), lit("manage.py")), frameworks.is_root(lit("rust"), lit(None).cast("string"), lit("f")), frameworks.is_dynamic(lit("go"), lit("go func() {}")), frameworks.is_marked(lit("java"), lit("@Override")), frameworks.is_callback(lit("_close")))
+    assert got == (True, True, False, True, False, True)
     src = spark.createDataFrame([("a.py", "python", "getattr(x, 'go'); getattr(y, 'go'); import_module('p.q')"), ("b.rs", "rust", "fn f(x: Box<dyn Shape>) {}"), ("c.js", "javascript", "")], "path string, language string, source string")
     refs = references.found(src)
     assert sorted((r.file, r.kind, r.target, r.n) for r in refs.collect()) == [("a.py", "dynamic_import", "p.q", 1), ("a.py", "reflection", "go", 2), ("b.rs", "trait_object", "Shape", 1)]
