@@ -62,7 +62,7 @@ def _file_sql(name: str) -> str:
 
 
 def _registry_sql() -> list[tuple[str, str, str]]:
-    """Name, category and SQL of each feature, written down apart from the registry, in the vector's order."""
+    """Name, category and SQL of each feature in the vector's order; only the lists of words and patterns are the registry's own."""
     cap = lambda e, most: f"least(({e}) / {most}.0, 1)"
     shown = lambda category, names: [(n, category, _shows_sql(n)) for n in names.split()]
     never = lambda category, names: [(n, category, "false") for n in names.split()]
